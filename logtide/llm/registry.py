@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import exact_dedup, line_dedup, mixing
+from logtide.llm import bpe, exact_dedup, line_dedup, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_bpe": bpe.op3_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
