@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, exact_dedup, line_dedup, mixing
+from logtide.llm import bpe, exact_dedup, line_dedup, mixing, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_ids": token_store.op1_token_ids,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
     "op5_line_dedup": line_dedup.op5_line_dedup,
