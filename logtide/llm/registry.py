@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, exact_dedup, line_dedup, mixing, token_store
+from logtide.llm import bpe, exact_dedup, line_dedup, mixing, ngram_jaccard, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": token_store.op1_token_ids,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_bpe": bpe.op3_bpe,
+    "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op4_ngram_jaccard": ngram_jaccard.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op10_mixing": mixing.SQL,
 }

@@ -72,7 +72,7 @@ class Scratch:
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{label}")
         with _short_lived_shuffles(self.spark):
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = path
         return table
