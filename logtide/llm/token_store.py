@@ -66,7 +66,7 @@ class LibraryCodec:
 
     def _learn(self, words: list[str]) -> None:
         """Encode many new words in one call; a word's ids run up to a token with the end-of-word suffix."""
-        ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != len(words):
             return  # the words are then encoded one by one as they are met
@@ -77,9 +77,11 @@ class LibraryCodec:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.splitter.words(x) if self.splitter.plain(x) else None for x in texts]
-        new = {w for words in split if words for w in words if w not in self.cache and w not in self.cache.older}
+        new = set().union(*(words for words in split if words))
+        new.difference_update(self.cache)
+        new.difference_update(self.cache.older)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         return [self._one(x) if words is None else b"".join(map(self.cache.__getitem__, words)) for x, words in zip(texts, split, strict=True)]
 
 
