@@ -1,8 +1,74 @@
-"""Corpus pipeline; its stages follow as the operators land."""
+"""Corpus pipeline: raw documents to token ids in five stages, each one operator of ``logtide.llm``.
 
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept. All
+but the last return the columns of documents. A stage's result is written as Parquet and read
+again for the next, so a lost executor costs at most one stage's tasks.
+
+Nulls, empty and repeated rows follow the operators. Beyond them: a document whose lines all
+go keeps its row with an empty text; of rows that share doc_id and text one passes the third
+stage; the fourth repeats a row as often as the mix takes it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logtide.llm import bpe, line_dedup, mixing, ngram_jaccard, quality_classifier
+from logtide.llm.scratch import Scratch
+
+#: SQL can't express the classifier, so tests compare the pipeline with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality_classifier.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat across them."""
+    kept = line_dedup.rewritten(docs).select("row.*", F.col("kept").alias("text"))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near duplicates: five words, similarity 0.8."""
+    found = ngram_jaccard.near_duplicates(docs)
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
+    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and of what they decode to."""
+    return bpe.round_trip(docs, bpe.default_vocabulary())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("BPE encoding and decoding", tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.keep(docs, f"stage{i}")
+    return docs

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import words as W
+from logtide.llm.joins import keep_listed
 from logtide.llm.scratch import Scratch
 
 FEATURES = (
@@ -177,11 +178,32 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; ``labels`` has doc_id and quality."""
     scratch = Scratch(docs.sparkSession, "quality")
     table = scratch.keep(features(docs), "features")
-    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("y"))
-    model = fit(table.join(known, "doc_id").select("x", "y"))
+    model = fit(table.join(_training_rows(labels), "doc_id").select("x", "y"))
     scored = table.mapInArrow(_scored(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def _training_rows(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("y"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that a model fitted on their labelled rows doesn't reject."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    known = scratch.keep(_training_rows(labels).where("doc_id is not null"), "known")
+    listed = scratch.keep(known.select("doc_id").distinct(), "listed")
+    table = features(keep_listed(docs.select("doc_id", "text"), listed, ["doc_id"]))
+    model = fit(scratch.keep(table.join(known, "doc_id").select("x", "y"), "labelled"))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, offsets, raw in W.chunks(batch.column(at)):
+                score = np.round(model.scores(np.round(statistics(offsets, raw), 6)), 9)
+                yield batch.slice(lo, hi - lo).filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logtide.llm import bpe, exact_dedup, line_dedup, mixing, ngram_jaccard, quality_classifier, secret_scan, substring_dedup, token_store
+from logtide.llm import bpe, exact_dedup, line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, secret_scan, substring_dedup, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_ids": token_store.op1_token_ids,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": ngram_jaccard.op4_ngram_jaccard,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_quality_classifier": quality_classifier.op6_quality_classifier,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_mixing": mixing.op10_mixing,
