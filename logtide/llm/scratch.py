@@ -67,18 +67,18 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.name = spark, name
-        self._paths: dict[int, str] = {}
+        self._paths: dict[int, tuple[DataFrame, str]] = {}  # holds the table too, so that no other object gets its id
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{label}")
         with _short_lived_shuffles(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(table)] = path
+        self._paths[id(table)] = table, path
         return table
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            path = self._paths.pop(id(table), None)
-            if path:
-                remove(self.spark, path)
+            kept = self._paths.pop(id(table), None)
+            if kept:
+                remove(self.spark, kept[1])
