@@ -12,14 +12,15 @@ P boxes that hold fewer than P errors) it has an equal word whose next word diff
 bit. A document has sketches on its own band, for partners of its band or the one below, and
 on the band above. Equal words meet in one hash join; nothing else is a candidate.
 
-Candidates. Within a bucket of equal words not all pairs are made. The member with the most
-shared words is the pivot and is paired with the others. Verified links are contracted to
-components; a pivot that met every other member leaves its bucket, and buckets within one
-component are done. This repeats until the pairs that remain between different components
-are few against the rows that hold them; then these are all made. No linked pair in
-different components is ever left out, so components are exact.
+Candidates. The member of a bucket with the most shared words is its pivot and is paired
+with the others. Verified links are contracted to components; pivots, which met every other
+member, leave, and so do buckets that lie within one component. The pairs of a bucket that
+are left between different components, with next words one bit apart, come from one more join. No
+linked pair in different components is ever left out, so components are exact, while
+copies of one text cost a pair each.
 
-Verification intersects the whole shingle sets.
+Verification. Pairs are struck out by the Hamming distance of short sketches of fixed length
+first; the rest have their whole shingle sets intersected.
 
 Documents with equal sets form a class, and only classes are compared. Class numbers are 64-bit hashes
 of sets; a second hash detects two sets under one number, and the join then starts again
@@ -48,6 +49,8 @@ from logtide.llm.scratch import Scratch
 
 _U = np.uint64
 _BITS = 64
+#: Words of the sketch of fixed length, by which pairs are struck out before sets are read.
+_FOLD_WORDS = 16
 
 
 def band_limits(num: int, den: int, largest: int = 1 << 40) -> list[int]:
@@ -125,9 +128,11 @@ def _sketch(shingle: int, num: int, den: int, seed: int):
                 for up in (0, 1):
                     flat, begin = sketches(values, first, np.where(size > 0, per_band[np.maximum(band, 0) + up], 0))
                     lists.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat)))
+                flat, begin = sketches(values, first, np.full(len(size), _FOLD_WORDS))
+                lists.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), W.signed(cls), W.signed(check), pa.array(band, pa.int32()), *lists],
-                    ["doc_id", "n_shingles", "cls", "check", "band", "own", "above"],
+                    ["doc_id", "n_shingles", "cls", "check", "band", "own", "above", "short"],
                 )
 
     return run
@@ -177,12 +182,47 @@ def _met(postings: DataFrame, word: str, *halves: str) -> DataFrame:
     return postings.withColumns(spread).where(meets).drop(*spread)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those pairs of classes (a, b) whose whole sets reach the similarity."""
-    side = {x: sets.select(F.col("cls").alias(x), F.col("elements").alias(f"set_{x}")) for x in "ab"}
-    joined = pairs.join(side["b"], "b").join(side["a"], "a")
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    return joined.where(den * common >= num * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+def _one_bit(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 1
+
+
+class _Verifier:
+    """Candidate pairs of classes to links: short sketches first, then whole shingle sets."""
+
+    def __init__(self, scratch: Scratch, rows: DataFrame, table: DataFrame, classes: DataFrame, options: tuple[int, int, int, int]) -> None:
+        self.scratch, self.rows, self.classes = scratch, rows, classes
+        self.shingle, self.num, self.den, self.seed = options
+        short = table.where("n_shingles > 0").select("cls", "n_shingles", "short").dropDuplicates(["cls"])
+        self.short = scratch.keep(short, "short")
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Pairs whose short sketches are no further apart than linked sets can be."""
+        side = {x: self.short.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("short").alias(f"short_{x}")) for x in "ab"}
+        joined = pairs.join(side["b"], "b").join(side["a"], "a")
+        apart = F.aggregate(F.zip_with("short_a", "short_b", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
+        sized = self.den * F.least("n_a", "n_b") >= self.num * F.greatest("n_a", "n_b")
+        return joined.where(sized & ((self.den + self.num) * apart <= (self.den - self.num) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+
+    def _sets(self, pairs: DataFrame) -> DataFrame:
+        """(cls, elements) of the classes of ``pairs``, from one document of each."""
+        listed = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        own = self.scratch.keep(self.classes.join(listed, "cls").select("any_id"), "listed")
+        named = self.scratch.keep(own.where("any_id is not null").select(F.col("any_id").alias("doc_id")).distinct(), "ids")
+        chosen = keep_listed(self.rows.where("doc_id is not null"), named, ["doc_id"]).select("doc_id", "text")
+        if not own.where("any_id is null").isEmpty():
+            chosen = chosen.unionByName(self.rows.where("doc_id is null").select("doc_id", "text"))
+        return self.scratch.keep(chosen.mapInArrow(_sets(self.shingle, self.seed), "cls long, elements array<bigint>").dropDuplicates(["cls"]), "sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        near = self.scratch.keep(self._near(pairs.distinct()), "near")
+        sets = self._sets(near)
+        side = {x: sets.select(F.col("cls").alias(x), F.col("elements").alias(f"set_{x}")) for x in "ab"}
+        joined = near.join(side["b"], "b").join(side["a"], "a")
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        found = joined.where(self.den * common >= self.num * (F.size("set_a") + F.size("set_b") - common)).select("a", "b")
+        found = self.scratch.keep(found, "links")
+        self.scratch.drop(sets, near)
+        return found
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -190,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     for seed in range(20):
-        kind = "doc_id long, n_shingles long, cls long, check long, band int, own array<bigint>, above array<bigint>"
+        kind = "doc_id long, n_shingles long, cls long, check long, band int, own array<bigint>, above array<bigint>, short array<bigint>"
         table = scratch.keep(rows.mapInArrow(_sketch(shingle, num, den, seed), kind), "sketches")
         classes = table.where("n_shingles > 0").groupBy("cls").agg(
             F.min("doc_id").alias("first_id"), F.max("doc_id").alias("any_id"), (F.min("check") != F.max("check")).alias("mixed")
@@ -207,47 +247,26 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     shared = scratch.keep(shared.select("word", "cls", "next"), "shared")
     degree = scratch.keep(shared.groupBy("cls").agg(F.count("*").alias("degree")), "degree")
 
-    # The sets of candidate classes only, from one document of each.
-    listed = classes.join(degree, "cls").where("any_id is not null").select(F.col("any_id").alias("doc_id")).distinct()
-    listed = scratch.keep(listed, "listed")
-    chosen = keep_listed(rows.where("doc_id is not null"), listed, ["doc_id"]).select("doc_id", "text")
-    nameless = classes.where("any_id is null").limit(1).count()
-    if nameless:
-        chosen = chosen.unionByName(rows.where("doc_id is null"))
-    sets = chosen.mapInArrow(_sets(shingle, seed), "cls long, elements array<bigint>")
-    sets = scratch.keep(sets.dropDuplicates(["cls"]) if nameless else sets, "sets")
-
-    open_ = shared.join(degree, "cls")
+    verifier = _Verifier(scratch, rows, table, classes, (shingle, num, den, seed))
+
+    # First every bucket's pivot against its other members, then what is left between components.
     best = F.max(F.struct("degree", "cls", "next")).over(by_word)
-    links, labels, last = None, None, False
-    while True:
-        if last:
-            left = open_.select("word", F.col("cls").alias("a"), F.col("next").alias("na"), F.col("label").alias("la"))
-            right = open_.select("word", F.col("cls").alias("b"), F.col("next").alias("nb"), F.col("label").alias("lb"))
-            pairs = left.join(right, "word").where((F.col("la") < F.col("lb")) & (F.bit_count(F.col("na").bitwiseXOR(F.col("nb"))) <= 1))
-            pairs = pairs.select("a", "b")
-        else:
-            starred = scratch.keep(open_.withColumn("p", best).select("word", "cls", "next", "degree", "p"), "starred")
-            near = F.bit_count(F.col("next").bitwiseXOR(F.col("p.next"))) <= 1
-            differ = F.col("cls") != F.col("p.cls")
-            pairs = starred.where(differ & near).select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
-        found = scratch.keep(_links(pairs.distinct(), sets, num, den), "links")
-        links = found if links is None else links.unionByName(found)
+    starred = scratch.keep(shared.join(degree, "cls").withColumn("p", best).select("word", "cls", "next", "p"), "starred")
+    stars = starred.where((F.col("cls") != F.col("p.cls")) & _one_bit("next", "p.next")).select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
+    links = verifier.links(stars)
+    labels = components(scratch, links)
+    rest = starred.where("cls <> p.cls").select("word", "cls", "next")
+    named = rest.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    named = named.withColumns({"lo": F.min("label").over(by_word), "hi": F.max("label").over(by_word)})
+    open_ = scratch.keep(named.where("lo < hi").select("word", "cls", "next", "label"), "open")
+    scratch.drop(shared, starred)
+    if not open_.isEmpty():
+        left = open_.select("word", F.col("cls").alias("a"), F.col("next").alias("na"), F.col("label").alias("la"))
+        right = open_.select("word", F.col("cls").alias("b"), F.col("next").alias("nb"), F.col("label").alias("lb"))
+        between = left.join(right, (left["word"] == right["word"]) & (F.col("la") < F.col("lb")) & _one_bit("na", "nb")).select("a", "b")
+        more = verifier.links(between)
+        links = links.unionByName(more)
         labels = components(scratch, links)
-        if last:
-            break
-        rest = starred.where("cls <> p.cls").select("word", "cls", "next", "degree")
-        named = rest.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-        named = named.withColumns({"lo": F.min("label").over(by_word), "hi": F.max("label").over(by_word)})
-        before, open_ = open_, scratch.keep(named.where("lo < hi").select("word", "cls", "next", "degree", "label"), "open")
-        scratch.drop(before, starred)
-        if open_.isEmpty():
-            break
-        per_label = open_.groupBy("word", "label").agg(F.count("*").alias("n"))
-        per_word = per_label.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        rows_left, pairs_left = per_word.agg(F.sum("n"), F.sum(F.col("n") * F.col("n") - F.col("own")) / 2).first()
-        last = pairs_left <= 8 * rows_left
-        open_ = open_ if last else open_.select("word", "cls", "next", "degree")
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     linked = both.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
