@@ -65,12 +65,13 @@ def systematic(
     share: float = 1.5,
     ceiling: int = 2,
     seed: str = "mix",
+    carry: list[str] | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """One row per input row: row (the input as a struct), size, source_size, target, copies."""
+    """One row per input row: row (its ``carry`` columns as a struct, by default all), size, source_size, target, copies."""
     slices = 4 + docs.count() // block_rows
     source = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
-    lined = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", source.alias("src"), word_count(F.col("text")).alias("size")).select(
+    lined = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns)).alias("row"), "doc_id", source.alias("src"), word_count(F.col("text")).alias("size")).select(
         "*",
         F.floor(4 * F.log2(F.col("size") + 1) + 1e-9).cast("long").alias("class"),
         (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % slices).alias("slice"),
@@ -100,9 +101,8 @@ def mixed(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    slim = docs.select("doc_id", "source", "text")
-    return systematic(slim).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return systematic(docs, carry=["doc_id"]).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = r"""
