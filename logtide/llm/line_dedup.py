@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logtide.llm.joins import quantiles
 from logtide.llm.scratch import Scratch
@@ -137,8 +138,8 @@ def rewritten(docs: DataFrame, *, digest: bool = False, min_chars: int = 20, **o
     rest = [F.col("doc_id").cast("long").alias("doc_id")] + [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.struct(*rest).alias("row"), "text")
     joined = rows.join(lost, F.col("row.doc_id").eqNullSafe(F.col("lost_id")), "left").select("row", "text", "keys")
-    row = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_rewrite(min_chars, digest), f"row {row}, n_lines long, n_dropped long, kept string")
+    kind = T.StructType([joined.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped")), T.StructField("kept", T.StringType())])
+    return joined.mapInArrow(_rewrite(min_chars, digest), kind)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

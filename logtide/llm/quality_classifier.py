@@ -194,15 +194,15 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     listed = scratch.keep(known.select("doc_id").distinct(), "listed")
     table = features(keep_listed(docs.select("doc_id", "text"), listed, ["doc_id"]))
     model = fit(scratch.keep(table.join(known, "doc_id").select("x", "y"), "labelled"))
-    at = docs.columns.index("text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, offsets, raw in W.chunks(batch.column(at)):
+            for lo, hi, offsets, raw in W.chunks(batch.column(1)):
                 score = np.round(model.scores(np.round(statistics(offsets, raw), 6)), 9)
-                yield batch.slice(lo, hi - lo).filter(pa.array(score >= THRESHOLD))
+                yield batch.slice(lo, hi - lo).filter(pa.array(score >= THRESHOLD)).select(["row"])
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.select("row").schema).select("row.*")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
