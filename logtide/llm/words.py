@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken in runs of about this many bytes, so memory follows the longest text only.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 256 << 10
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
