@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from logtide.functions.hashing import HashFunction, hash_prefix, route_hash, shard_of
 
@@ -39,11 +40,11 @@ def split_plan(rows: DataFrame, limit: int, depth: int, hash_function: HashFunct
 
 def split_rows(rows: DataFrame, limit: int, max_depth: int = 4, hash_function: HashFunction = route_hash) -> DataFrame:
     """Each row's tree node: the shortest prefix of its hash whose node holds at most ``limit`` bytes, or that of max_depth."""
-    from pyspark.sql.window import Window
-
-    placed = rows.withColumn("node", F.lit(""))
-    for depth in range(max_depth + 1):
-        fuller = F.sum("bytes").over(Window.partitionBy("node")) > limit
-        at_end = F.length("node") == depth
-        placed = placed.withColumn("node", F.when(at_end & fuller, hash_prefix(F.col("k"), depth, hash_function)).otherwise(F.col("node")))
-    return placed
+    leaf = rows.withColumn("_leaf", hash_prefix(F.col("k"), max_depth, hash_function))
+    nodes = leaf.groupBy("_leaf").agg(F.sum("bytes").alias("_bytes"))  # at most 8 * 16 ** max_depth rows
+    choice = F.col("_leaf")
+    for length in range(max_depth, -1, -1):
+        prefix = F.substring("_leaf", 1, length)
+        fits = F.sum("_bytes").over(Window.partitionBy(prefix)) <= limit
+        choice = F.when(fits, prefix).otherwise(choice)
+    return leaf.join(nodes.select("_leaf", choice.alias("node")), "_leaf").drop("_leaf")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 
 def add_rows(table: DataFrame, rows: DataFrame, order: str) -> DataFrame:
-    """Append rows, numbered behind the last; numbers start at 1."""
+    """Append rows, numbered behind the last; numbers start at 1. One task numbers the batch, so batches are small against the table."""
     last = table.agg(F.coalesce(F.max("row_no"), F.lit(0)).alias("_last"))
     numbered = rows.crossJoin(F.broadcast(last)).withColumn("row_no", (F.col("_last") + F.row_number().over(Window.orderBy(order))).cast("long"))
     return table.unionByName(numbered.select(*table.columns))

@@ -51,9 +51,9 @@ def candidate_runs(metadata: DataFrame, probe: Column) -> DataFrame:
 def memtable_runs(log: DataFrame, limit: int) -> DataFrame:
     """Rows with the run their flush would write them to: ``run_id`` grows each time the bytes so far pass a multiple of the limit.
 
-    Running sums are taken over blocks of versions first, so no task orders the whole log.
+    Running sums are taken over blocks of a million versions first, so no task orders the whole log.
     """
-    width = F.floor(F.col("seq") / 4096)
+    width = F.floor(F.col("seq") / (1 << 20))
     block = log.withColumn("_block", width)
     before = block.groupBy("_block").agg(F.sum("bytes").alias("_sum"))
     before = before.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))

@@ -142,8 +142,10 @@ def json_map(pairs: DataFrame, buckets: int = 1) -> DataFrame:
 
 def read_objects(spark: SparkSession, base: str, prefix: str = "") -> DataFrame:
     """(k, v) of a folder or bucket with an object for each key; the key is the path behind ``base``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base.rstrip('/')}/{prefix}".rstrip("/"))
-    return files.select(F.expr(f"substring(path, instr(path, '{base.rstrip('/').split('://')[-1]}/') + {len(base.rstrip('/').split('://')[-1]) + 1})").alias("k"), F.col("content").alias("v"))
+    base = base.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{base}/{prefix}".rstrip("/"))
+    within = "\\Q" + base.split("://")[-1] + "/\\E"
+    return files.select(F.element_at(F.split("path", within, 2), 2).alias("k"), F.col("content").alias("v"))
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str = "kv_store") -> DataFrame:
