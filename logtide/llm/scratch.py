@@ -48,7 +48,8 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within this, Spark removes the shuffle files of an execution as soon as it ends."""
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -71,7 +72,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{label}")
-        with _short_lived_shuffles(self.spark):
+        with short_lived_shuffles(self.spark):
             df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = table, path

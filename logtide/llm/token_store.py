@@ -332,7 +332,7 @@ def write_store(docs: DataFrame, folder: str, vocabulary: str, *, end_id: int =
     cuts = quantiles(rows, "doc_id", n_shards)
     encoded = rows.mapInArrow(_encode(vocabulary, end_id, width, cuts), "doc_id long, shard int, ids binary")
     sorted_rows = encoded.repartitionById(len(cuts) + 1, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    with scratch._short_lived_shuffles(spark):
+    with scratch.short_lived_shuffles(spark):
         sorted_rows.mapInArrow(_write_shards(folder, width), "shard int, file string, n_docs long, n_ids long").write.parquet(f"{folder}/shards.parquet")
         shards = spark.read.parquet(f"{folder}/shards.parquet")
         keys = shards.select("shard", "file").repartition(len(cuts) + 1, "shard").mapInArrow(_list_keys(folder), "doc_id long, shard int, first long, docs long")
