@@ -7,15 +7,15 @@ num/den have sizes a <= b with den * a >= num * b, and differ in at most
 Sketch. On a size band, every element flips one bit of one of P 64-bit words, P one more
 than the largest difference that a linked pair of this band can have. Common elements cancel,
 so the Hamming distance of two sketches is at most the symmetric difference. By the
-pigeonhole principle a linked pair has an equal word; by its ring form (sums over a circle of
-P boxes that hold fewer than P errors) it has an equal word whose next word differs in at most one
-bit. A document has sketches on its own band, for partners of its band or the one below, and
+pigeonhole principle a linked pair has an equal word; by its ring form (P boxes in a circle that
+hold fewer than P errors) it has an equal word whose next word differs in at most one bit, and
+that together with the one after it in at most two. A document has sketches on its own band, for partners of its band or the one below, and
 on the band above. Equal words meet in one hash join; nothing else is a candidate.
 
 Candidates. The member of a bucket with the most shared words is its pivot and is paired
 with the others. Verified links are contracted to components; pivots, which met every other
 member, leave, and so do buckets that lie within one component. The pairs of a bucket that
-are left between different components, with next words one bit apart, come from one more join. No
+are left between different components, by the same test, come from one more join. No
 linked pair in different components is ever left out, so components are exact, while
 copies of one text cost a pair each.
 
@@ -51,6 +51,7 @@ _U = np.uint64
 _BITS = 64
 #: Words of the sketch of fixed length, by which pairs are struck out before sets are read.
 _FOLD_WORDS = 16
+_LOW = 0xFFFF
 
 
 def band_limits(num: int, den: int, largest: int = 1 << 40) -> list[int]:
@@ -152,17 +153,22 @@ def _sets(shingle: int, seed: int):
 def _postings(table: DataFrame) -> DataFrame:
     """(word, cls, next) for every word of both sketches.
 
-    ``word`` hashes band, place and value; ``next`` is the next word with its halves folded
-    into 32 bits by XOR, which keeps it a parity sketch.
+    ``word`` hashes band, place and value; ``next`` holds the next word in its low 16 bits and the
+    one after it above them, both folded to 16 bits by XOR, which keeps them parity sketches.
     """
 
     def folded(x: Column) -> Column:
-        return x.bitwiseXOR(F.shiftrightunsigned(x, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+        for half in (32, 16):
+            x = x.bitwiseXOR(F.shiftrightunsigned(x, half))
+        return x.bitwiseAND(F.lit(_LOW))
 
     def of(column: str, up: int) -> DataFrame:
+        def follow(i: Column, n: int) -> Column:
+            return folded(F.element_at(column, (i + n) % F.size(column) + 1))
+
         entry = F.transform(
             column,
-            lambda x, i: F.struct(F.xxhash64(F.col("band") + up, i, x).alias("word"), folded(F.element_at(column, (i + 1) % F.size(column) + 1)).alias("next")),
+            lambda x, i: F.struct(F.xxhash64(F.col("band") + up, i, x).alias("word"), follow(i, 1).bitwiseOR(F.shiftleft(follow(i, 2), 16)).alias("next")),
         )
         return table.where("n_shingles > 0").select("cls", F.explode(entry).alias("e")).select("e.word", "cls", "e.next")
 
@@ -182,8 +188,10 @@ def _met(postings: DataFrame, word: str, *halves: str) -> DataFrame:
     return postings.withColumns(spread).where(meets).drop(*spread)
 
 
-def _one_bit(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= 1
+def _follows(a: str, b: str) -> Column:
+    """Next words that differ in one bit at most, and with the words after them in two at most."""
+    apart = F.col(a).bitwiseXOR(F.col(b))
+    return (F.bit_count(apart) <= 2) & (F.bit_count(apart.bitwiseAND(F.lit(_LOW))) <= 1)
 
 
 class _Verifier:
@@ -195,13 +203,29 @@ class _Verifier:
         short = table.where("n_shingles > 0").select("cls", "n_shingles", "short").dropDuplicates(["cls"])
         self.short = scratch.keep(short, "short")
 
-    def _near(self, pairs: DataFrame) -> DataFrame:
+    def close(self, a: str, b: str) -> Column:
+        """Whether columns named with the suffixes ``a`` and ``b`` (n and short) may be of linked sets."""
+        size_a, size_b = F.col(f"n{a}"), F.col(f"n{b}")
+        sized = self.den * F.least(size_a, size_b) >= self.num * F.greatest(size_a, size_b)
+        apart = sum((F.bit_count(F.col(f"short{a}")[i].bitwiseXOR(F.col(f"short{b}")[i])) for i in range(_FOLD_WORDS)), F.lit(0))
+        return sized & ((self.den + self.num) * apart <= (self.den - self.num) * (size_a + size_b))
+
+    def sketched(self, cls: str, suffix: str) -> DataFrame:
+        return self.short.select(F.col("cls").alias(cls), F.col("n_shingles").alias(f"n{suffix}"), F.col("short").alias(f"short{suffix}"))
+
+    def near(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose short sketches are no further apart than linked sets can be."""
-        side = {x: self.short.select(F.col("cls").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("short").alias(f"short_{x}")) for x in "ab"}
-        joined = pairs.join(side["b"], "b").join(side["a"], "a")
-        apart = F.aggregate(F.zip_with("short_a", "short_b", lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
-        sized = self.den * F.least("n_a", "n_b") >= self.num * F.greatest("n_a", "n_b")
-        return joined.where(sized & ((self.den + self.num) * apart <= (self.den - self.num) * (F.col("n_a") + F.col("n_b")))).select("a", "b")
+        joined = pairs.join(self.sketched("b", "_b"), "b").join(self.sketched("a", "_a"), "a")
+        return joined.where(self.close("_a", "_b")).select("a", "b")
+
+    def between(self, open_: DataFrame) -> DataFrame:
+        """Near pairs of classes under different labels that share a word, with all tests inside the join."""
+        side = {}
+        for x in "ab":
+            rows = open_.select(F.col("word").alias(f"word_{x}"), F.col("cls").alias(x), F.col("next").alias(f"next_{x}"), F.col("label").alias(f"label_{x}"))
+            side[x] = rows.join(self.sketched(x, f"_{x}"), x)
+        tests = (F.col("word_a") == F.col("word_b")) & (F.col("label_a") < F.col("label_b")) & _follows("next_a", "next_b") & self.close("_a", "_b")
+        return side["a"].join(side["b"], tests).select("a", "b")
 
     def _sets(self, pairs: DataFrame) -> DataFrame:
         """(cls, elements) of the classes of ``pairs``, from one document of each."""
@@ -213,8 +237,9 @@ class _Verifier:
             chosen = chosen.unionByName(self.rows.where("doc_id is null").select("doc_id", "text"))
         return self.scratch.keep(chosen.mapInArrow(_sets(self.shingle, self.seed), "cls long, elements array<bigint>").dropDuplicates(["cls"]), "sets")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        near = self.scratch.keep(self._near(pairs.distinct()), "near")
+    def links(self, near: DataFrame) -> DataFrame:
+        """Those pairs of classes (a, b) whose whole sets reach the similarity."""
+        near = self.scratch.keep(near, "near")
         sets = self._sets(near)
         side = {x: sets.select(F.col("cls").alias(x), F.col("elements").alias(f"set_{x}")) for x in "ab"}
         joined = near.join(side["b"], "b").join(side["a"], "a")
@@ -226,7 +251,7 @@ class _Verifier:
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class (an equal set has an equal one), links of its class, component_id."""
+    """One row per document: doc_id, n_shingles, class (an equal set has an equal one), verified_links of its class (those that decide the components), component_id."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     for seed in range(20):
@@ -242,43 +267,44 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     else:
         raise RuntimeError("two sets under one number with every seed")
 
+    members = scratch.keep(table.select("doc_id", "n_shingles", "cls"), "members")
+    verifier = _Verifier(scratch, rows, table, classes, (shingle, num, den, seed))
     by_word = Window.partitionBy("word")
-    shared = _met(_met(_postings(table), "word").withColumns({"low": F.col("next") % 65536, "high": F.shiftright("next", 16)}), "word", "low", "high")
+    shared = _met(_met(_postings(table), "word").withColumns({"low": F.col("next").bitwiseAND(F.lit(0xFF)), "high": F.shiftright("next", 8).bitwiseAND(F.lit(0xFF))}), "word", "low", "high")
     shared = scratch.keep(shared.select("word", "cls", "next"), "shared")
+    scratch.drop(table)
     degree = scratch.keep(shared.groupBy("cls").agg(F.count("*").alias("degree")), "degree")
 
-    verifier = _Verifier(scratch, rows, table, classes, (shingle, num, den, seed))
-
     # First every bucket's pivot against its other members, then what is left between components.
     best = F.max(F.struct("degree", "cls", "next")).over(by_word)
-    starred = scratch.keep(shared.join(degree, "cls").withColumn("p", best).select("word", "cls", "next", "p"), "starred")
-    stars = starred.where((F.col("cls") != F.col("p.cls")) & _one_bit("next", "p.next")).select(F.col("p.cls").alias("a"), F.col("cls").alias("b"))
-    links = verifier.links(stars)
+    starred = shared.join(degree, "cls").withColumn("p", best).select("word", "cls", "next", F.col("p.cls").alias("pivot"), F.col("p.next").alias("pivot_next"))
+    starred = scratch.keep(starred, "starred")
+    scratch.drop(shared)
+    stars = starred.where((F.col("cls") != F.col("pivot")) & _follows("next", "pivot_next")).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    links = verifier.links(verifier.near(stars.distinct()))
     labels = components(scratch, links)
-    rest = starred.where("cls <> p.cls").select("word", "cls", "next")
+    rest = starred.where("cls <> pivot").select("word", "cls", "next")
     named = rest.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     named = named.withColumns({"lo": F.min("label").over(by_word), "hi": F.max("label").over(by_word)})
     open_ = scratch.keep(named.where("lo < hi").select("word", "cls", "next", "label"), "open")
-    scratch.drop(shared, starred)
+    scratch.drop(starred)
     if not open_.isEmpty():
-        left = open_.select("word", F.col("cls").alias("a"), F.col("next").alias("na"), F.col("label").alias("la"))
-        right = open_.select("word", F.col("cls").alias("b"), F.col("next").alias("nb"), F.col("label").alias("lb"))
-        between = left.join(right, (left["word"] == right["word"]) & (F.col("la") < F.col("lb")) & _one_bit("na", "nb")).select("a", "b")
-        more = verifier.links(between)
+        near = verifier.between(open_)
+        more = verifier.links(near.distinct())
         links = links.unionByName(more)
         labels = components(scratch, links)
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    linked = both.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
+    linked = both.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("verified_links"))
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("smallest"))
-    named = named.join(smallest, "label").join(linked, "cls", "left").select("cls", F.coalesce("links", F.lit(0)).alias("links"), "smallest")
+    named = named.join(smallest, "label").join(linked, "cls", "left").select("cls", F.coalesce("verified_links", F.lit(0)).alias("verified_links"), "smallest")
     named = scratch.keep(named, "named")
-    return table.select("doc_id", "n_shingles", "cls").join(named, "cls", "left").select(
+    return members.join(named, "cls", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("cls")).alias("class"),
-        F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce("verified_links", F.lit(0)).alias("verified_links"),
         F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
