@@ -19,8 +19,8 @@ are left between different components, by the same test, come from one more join
 linked pair in different components is ever left out, so components are exact, while
 copies of one text cost a pair each.
 
-Verification. Pairs are struck out by the Hamming distance of short sketches of fixed length
-first; the rest have their whole shingle sets intersected.
+Verification. Pairs are struck out by the Hamming distance of short sketches first; the rest
+have their whole shingle sets intersected.
 
 Documents with equal sets form a class, and only classes are compared. Class numbers are 64-bit hashes
 of sets; a second hash detects two sets under one number, and the join then starts again
@@ -44,13 +44,13 @@ from pyspark.sql.window import Window
 
 from logtide.llm import words as W
 from logtide.llm.components import components
-from logtide.llm.joins import keep_listed
+from logtide.llm.joins import counted, keep_listed
 from logtide.llm.scratch import Scratch
 
 _U = np.uint64
 _BITS = 64
-#: Words of the sketch of fixed length, by which pairs are struck out before sets are read.
-_FOLD_WORDS = 16
+#: Words of the short sketch of a set of up to so many elements; it doubles with the size.
+_SHORT_WORDS, _SHORT_SIZE = 16, 400
 _LOW = 0xFFFF
 
 
@@ -114,6 +114,11 @@ def sketches(values: np.ndarray, first: np.ndarray, parts: np.ndarray) -> tuple[
     return np.packbits(odd, bitorder="little").view("<i8"), begin
 
 
+def short_words(size: np.ndarray) -> np.ndarray:
+    """Words of each set's short sketch, a power of two. Neighbouring words add up (XOR) to a sketch of half the length."""
+    return _SHORT_WORDS << np.ceil(np.log2(np.maximum(size / _SHORT_SIZE, 1))).astype(np.int64)
+
+
 def _sketch(shingle: int, num: int, den: int, seed: int):
     limits = np.array(band_limits(num, den))
     per_band = np.array(band_parts(num, den, band_limits(num, den)))
@@ -129,7 +134,7 @@ def _sketch(shingle: int, num: int, den: int, seed: int):
                 for up in (0, 1):
                     flat, begin = sketches(values, first, np.where(size > 0, per_band[np.maximum(band, 0) + up], 0))
                     lists.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat)))
-                flat, begin = sketches(values, first, np.full(len(size), _FOLD_WORDS))
+                flat, begin = sketches(values, first, short_words(size))
                 lists.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), W.signed(cls), W.signed(check), pa.array(band, pa.int32()), *lists],
@@ -175,15 +180,20 @@ def _postings(table: DataFrame) -> DataFrame:
     return of("own", 0).unionByName(of("above", 1))
 
 
-def _met(postings: DataFrame, word: str, *halves: str) -> DataFrame:
-    """Postings that share their word with another class; given halves, with one that has an equal half too.
+def _halves(postings: DataFrame) -> DataFrame:
+    """With the next word cut in two."""
+    return postings.withColumns({"low": F.col("next").bitwiseAND(F.lit(0xFF)), "high": F.shiftright("next", 8).bitwiseAND(F.lit(0xFF))})
+
+
+def _met(postings: DataFrame, name: str, word: str, *halves: str) -> DataFrame:
+    """Postings that share their word with one of another ``name``; given halves, with one that has an equal half too.
 
     Next words that differ in at most one bit have an equal half, so no candidate is lost.
     """
     spread, meets = {}, F.lit(False)
     for i, half in enumerate(halves or [None]):
         group = Window.partitionBy(word, half) if half else Window.partitionBy(word)
-        spread |= {f"lo{i}": F.min("cls").over(group), f"hi{i}": F.max("cls").over(group)}
+        spread |= {f"lo{i}": F.min(name).over(group), f"hi{i}": F.max(name).over(group)}
         meets = meets | (F.col(f"lo{i}") < F.col(f"hi{i}"))
     return postings.withColumns(spread).where(meets).drop(*spread)
 
@@ -194,6 +204,13 @@ def _follows(a: str, b: str) -> Column:
     return (F.bit_count(apart) <= 2) & (F.bit_count(apart.bitwiseAND(F.lit(_LOW))) <= 1)
 
 
+def _shortened(x: str, length: Column) -> Column:
+    """A sketch at its own length or, if ``length`` is less, at that."""
+    times = (F.size(x) / length).cast("int")
+    total = lambda i: F.aggregate(F.slice(x, i * times + 1, times), F.lit(0).cast("long"), lambda s, v: s.bitwiseXOR(v))
+    return F.when(times > 1, F.transform(F.sequence(F.lit(0), length - 1), total)).otherwise(F.col(x))
+
+
 class _Verifier:
     """Candidate pairs of classes to links: short sketches first, then whole shingle sets."""
 
@@ -207,7 +224,8 @@ class _Verifier:
         """Whether columns named with the suffixes ``a`` and ``b`` (n and short) may be of linked sets."""
         size_a, size_b = F.col(f"n{a}"), F.col(f"n{b}")
         sized = self.den * F.least(size_a, size_b) >= self.num * F.greatest(size_a, size_b)
-        apart = sum((F.bit_count(F.col(f"short{a}")[i].bitwiseXOR(F.col(f"short{b}")[i])) for i in range(_FOLD_WORDS)), F.lit(0))
+        one, other = (_shortened(f"short{x}", F.size(f"short{y}")) for x, y in ((a, b), (b, a)))
+        apart = F.aggregate(F.zip_with(one, other, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
         return sized & ((self.den + self.num) * apart <= (self.den - self.num) * (size_a + size_b))
 
     def sketched(self, cls: str, suffix: str) -> DataFrame:
@@ -223,7 +241,7 @@ class _Verifier:
         side = {}
         for x in "ab":
             rows = open_.select(F.col("word").alias(f"word_{x}"), F.col("cls").alias(x), F.col("next").alias(f"next_{x}"), F.col("label").alias(f"label_{x}"))
-            side[x] = rows.join(self.sketched(x, f"_{x}"), x)
+            side[x] = rows.join(self.sketched(x, f"_{x}").withColumn(f"short_{x}", _shortened(f"short_{x}", F.lit(_SHORT_WORDS))), x)
         tests = (F.col("word_a") == F.col("word_b")) & (F.col("label_a") < F.col("label_b")) & _follows("next_a", "next_b") & self.close("_a", "_b")
         return side["a"].join(side["b"], tests).select("a", "b")
 
@@ -270,27 +288,25 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     members = scratch.keep(table.select("doc_id", "n_shingles", "cls"), "members")
     verifier = _Verifier(scratch, rows, table, classes, (shingle, num, den, seed))
     by_word = Window.partitionBy("word")
-    shared = _met(_met(_postings(table), "word").withColumns({"low": F.col("next").bitwiseAND(F.lit(0xFF)), "high": F.shiftright("next", 8).bitwiseAND(F.lit(0xFF))}), "word", "low", "high")
+    shared = _met(_halves(_met(_postings(table), "cls", "word")), "cls", "word", "low", "high")
     shared = scratch.keep(shared.select("word", "cls", "next"), "shared")
     scratch.drop(table)
     degree = scratch.keep(shared.groupBy("cls").agg(F.count("*").alias("degree")), "degree")
 
     # First every bucket's pivot against its other members, then what is left between components.
     best = F.max(F.struct("degree", "cls", "next")).over(by_word)
-    starred = shared.join(degree, "cls").withColumn("p", best).select("word", "cls", "next", F.col("p.cls").alias("pivot"), F.col("p.next").alias("pivot_next"))
+    starred = shared.join(counted(degree), "cls").withColumn("p", best).select("word", "cls", "next", F.col("p.cls").alias("pivot"), F.col("p.next").alias("pivot_next"))
     starred = scratch.keep(starred, "starred")
     scratch.drop(shared)
     stars = starred.where((F.col("cls") != F.col("pivot")) & _follows("next", "pivot_next")).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
     links = verifier.links(verifier.near(stars.distinct()))
     labels = components(scratch, links)
     rest = starred.where("cls <> pivot").select("word", "cls", "next")
-    named = rest.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    named = named.withColumns({"lo": F.min("label").over(by_word), "hi": F.max("label").over(by_word)})
-    open_ = scratch.keep(named.where("lo < hi").select("word", "cls", "next", "label"), "open")
+    named = rest.join(counted(labels).withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    open_ = scratch.keep(_met(_halves(named.repartition("word")), "label", "word", "low", "high").select("word", "cls", "next", "label"), "open")
     scratch.drop(starred)
     if not open_.isEmpty():
-        near = verifier.between(open_)
-        more = verifier.links(near.distinct())
+        more = verifier.links(verifier.near(verifier.between(open_).distinct()))
         links = links.unionByName(more)
         labels = components(scratch, links)
 

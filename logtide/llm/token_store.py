@@ -47,7 +47,7 @@ _U = np.uint64
 _TAIL = struct.Struct("<8sIIQQQ")  # magic, bytes an id, keyless documents, documents, ids, offset of the offsets
 _MAGIC = b"LTSHARD1"
 #: Documents of one shard, and keys of one index file, about; small stores use smaller shards so that all cores write.
-SHARD_DOCS, INDEX_KEYS = 1 << 18, 1 << 18
+SHARD_DOCS, INDEX_KEYS = 1 << 16, 1 << 18
 
 
 class LibraryCodec:

@@ -13,6 +13,7 @@ from tokenizers import Tokenizer
 
 from logtide.llm import bpe, exact_dedup, fuse, line_dedup, mixing, ngram_jaccard, quality_classifier, quality_rules, registry, scratch, secret_scan, substring_dedup, token_store, words
 from logtide.llm.components import components
+from logtide.llm.joins import quantiles
 from logtide.llm.mph import PerfectHash
 from tests.llm import brute, cases
 from tests.oracle import DATA, check
@@ -353,6 +354,16 @@ def test_mix_is_near_its_targets(spark):
     assert all(abs(r.t - r.target) <= 0.03 * r.target for r in rows)
 
 
+def test_cut_points(spark):
+    ids = spark.range(0, 30_000, 3).select(F.col("id").alias("doc_id")).unionByName(spark.createDataFrame([(None,)], "doc_id long"))
+    for parts in (1, 2, 7, 1500):
+        cuts = quantiles(ids, "doc_id", parts)
+        assert len(cuts) <= parts - 1 and cuts == sorted(set(cuts))
+        sizes = np.diff([-1, *(np.searchsorted(np.arange(0, 30_000, 3), c) for c in cuts), 9_999])
+        assert sizes.max() <= 3 * 10_000 / parts
+    assert quantiles(ids.where("false"), "doc_id", 5) == [] and quantiles(ids.where("false"), "doc_id", 1500) == []
+
+
 # Words
 
 
