@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logtide.llm.joins import quantiles
+from logtide.llm.joins import BROADCAST_ROWS, quantiles
 from logtide.llm.scratch import Scratch
 
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -135,6 +135,8 @@ def _rewrite(min_chars: int, digest: bool):
 def rewritten(docs: DataFrame, *, digest: bool = False, min_chars: int = 20, **options: int) -> DataFrame:
     """row (the input without its text, as a struct), n_lines, n_dropped, kept (the text that stays, or its SHA-256 in hex)."""
     lost = dropped_keys(docs, min_chars=min_chars, **options).select(F.col("doc_id").alias("lost_id"), "keys")
+    if (lost.agg(F.sum(F.size("keys"))).first()[0] or 0) <= BROADCAST_ROWS:  # then texts needn't move
+        lost = F.broadcast(lost)
     rest = [F.col("doc_id").cast("long").alias("doc_id")] + [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.struct(*rest).alias("row"), "text")
     joined = rows.join(lost, F.col("row.doc_id").eqNullSafe(F.col("lost_id")), "left").select("row", "text", "keys")
