@@ -60,7 +60,14 @@ def probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers.select(F.explode(F.array(*[F.concat(F.lit(t), F.col("c_custkey").cast("string")) for t in ("purchase:", "view:")])).alias("k"))
 
 
+def all_probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A purchase and a view of every customer, stored or not."""
+    custkey = F.col("c_custkey").cast("string")
+    return read(spark, sf_dir, "customer").select(F.explode(F.array(*[F.concat(F.lit(t), custkey) for t in ("purchase:", "view:")])).alias("k"))
+
+
 _PROBES_SQL = ", probes AS (SELECT 'purchase:' || c_custkey AS k FROM customer WHERE c_custkey % 100 = 1 UNION ALL SELECT 'view:' || c_custkey FROM customer WHERE c_custkey % 100 = 1)\n"
+_ALL_PROBES_SQL = ", probes AS (SELECT 'purchase:' || c_custkey AS k FROM customer UNION ALL SELECT 'view:' || c_custkey FROM customer)\n"
 
 # Point access
 
@@ -100,6 +107,26 @@ def kv_exists_anti(spark, sf_dir):
     return log.absent(event_log(spark, sf_dir), probe_keys(spark, sf_dir))
 
 
+@query(_LOG_SQL + _ALL_PROBES_SQL + "SELECT p.k, l.v, l.k IS NOT NULL AS found FROM (SELECT DISTINCT k FROM probes) p LEFT JOIN live l ON p.k = l.k")
+def kv_multi_get_all(spark, sf_dir):
+    return log.get(event_log(spark, sf_dir), all_probe_keys(spark, sf_dir))
+
+
+@query(_LOG_SQL + _ALL_PROBES_SQL + "SELECT DISTINCT p.k, l.k IS NOT NULL AS present FROM probes p LEFT JOIN live l ON p.k = l.k")
+def kv_exists_all(spark, sf_dir):
+    return log.exists(event_log(spark, sf_dir), all_probe_keys(spark, sf_dir))
+
+
+@query(_LOG_SQL + _ALL_PROBES_SQL + "SELECT k FROM probes WHERE k IN (SELECT k FROM live)")
+def kv_exists_semi_all(spark, sf_dir):
+    return log.present(event_log(spark, sf_dir), all_probe_keys(spark, sf_dir))
+
+
+@query(_LOG_SQL + _ALL_PROBES_SQL + "SELECT k FROM probes WHERE k NOT IN (SELECT k FROM live)")
+def kv_exists_anti_all(spark, sf_dir):
+    return log.absent(event_log(spark, sf_dir), all_probe_keys(spark, sf_dir))
+
+
 @query(_LOG_SQL + "SELECT k FROM live ORDER BY k")
 def kv_keys_sorted(spark, sf_dir):
     return log.keys(event_log(spark, sf_dir)).orderBy(F.col("k").cast("binary"))
@@ -191,6 +218,17 @@ def kv_delete_batch(spark, sf_dir):
     return log.live(log.delete(event_log(spark, sf_dir), probe_keys(spark, sf_dir))).select("k", "v")
 
 
+@query(_LOG_SQL + ", batch AS (SELECT 'order:' || o_orderkey AS k, o_totalprice AS v FROM orders) SELECT k, v FROM live UNION ALL SELECT k, v FROM batch")
+def kv_put_batch_all(spark, sf_dir):
+    batch = read(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("k"), F.col("o_totalprice").alias("v"))
+    return log.live(log.put(event_log(spark, sf_dir), batch)).select("k", "v")
+
+
+@query(_LOG_SQL + _ALL_PROBES_SQL + "SELECT k, v FROM live WHERE k NOT IN (SELECT k FROM probes)")
+def kv_delete_batch_all(spark, sf_dir):
+    return log.live(log.delete(event_log(spark, sf_dir), all_probe_keys(spark, sf_dir))).select("k", "v")
+
+
 @query(
     """WITH stored AS (SELECT o_custkey AS k, max(o_totalprice) AS v FROM orders GROUP BY 1),
 batch AS (SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_acctbal > 5000)

@@ -26,3 +26,18 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_key_sets(spark):
+    """Every customer is asked for and deleted, and every order put."""
+    sf = str(DATA / "sf0.01")
+    table = lambda name: spark.read.parquet(f"{sf}/{name}.parquet")
+    asked = {f"{t}:{r.c_custkey}" for r in table("customer").collect() for t in ("purchase", "view")}
+    run = lambda name: catalogue.QUERIES[name](spark, sf).collect()
+    stored = {r.k for r in run("kv_live")}
+    assert {r.k: r.found for r in run("kv_multi_get_all")} == {k: k in stored for k in asked}
+    assert {r.k: r.present for r in run("kv_exists_all")} == {k: k in stored for k in asked}
+    assert {r.k for r in run("kv_exists_semi_all")} == asked & stored
+    assert {r.k for r in run("kv_exists_anti_all")} == asked - stored
+    assert {r.k for r in run("kv_delete_batch_all")} == stored - asked
+    assert {r.k for r in run("kv_put_batch_all")} == stored | {f"order:{r.o_orderkey}" for r in table("orders").collect()}
