@@ -3,7 +3,9 @@
 Texts are equal when identical after lower-casing A-Z. Documents arrive in batches in order
 of doc_id. Each batch is grouped by SHA-256 digest on its own. Its digests are screened by
 the filters of every earlier snapshot; those that pass join the snapshot's exact buckets on
-the whole digest, and the digests that no snapshot holds become the next snapshot. Groups of
+the whole digest, and the digests that no snapshot holds become the next snapshot. A bucket
+carries its group's keep_id and size: what the join finds is added to that group, and all
+other groups stay as their batch made them. Groups of
 two or more then have their bytes compared: the normalised texts of their members, and of no
 other document, are grouped by digest and text. A digest that covers more than one text is
 resolved by joining on the text itself.
@@ -33,6 +35,7 @@ from logtide.llm.scratch import Scratch
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Digests that one filter covers, on average.
 FILTER_KEYS = 1 << 15
+_GROUP = ["digest", "keep_id", "n"]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,29 +60,29 @@ def _build(table: pa.Table) -> pa.Table:
 
 def _screen(incoming: pa.Table, filters: pa.Table) -> pa.Table:
     if not len(filters):
-        return incoming.select(["digest"]).slice(0, 0)
+        return incoming.select(_GROUP).slice(0, 0)
     passed = np.zeros(len(incoming), bool)
     for one in filters.column("filter").to_pylist():
         passed |= fuse.contains(one, _keys(incoming))
-    return incoming.select(["digest"]).filter(pa.array(passed))
+    return incoming.select(_GROUP).filter(pa.array(passed))
 
 
 class Snapshot:
-    """Digests of one batch that no earlier snapshot holds: exact buckets and their filters."""
+    """Groups of one batch whose digests no earlier snapshot holds: exact buckets and their filters."""
 
     def __init__(self, scratch: Scratch, fresh: DataFrame) -> None:
-        self.buckets = scratch.keep(fresh.select("digest"), "buckets")
+        self.buckets = scratch.keep(fresh.select(*_GROUP), "buckets")
         self.ranges = 1 + self.buckets.count() // FILTER_KEYS
         self.filters = scratch.keep(self._ranged(self.buckets).groupBy("range").applyInArrow(_build, "range long, filter binary"), "filters")
 
     def _ranged(self, rows: DataFrame) -> DataFrame:
         part = F.conv(F.hex(F.substring("digest", 9, 4)), 16, 10).cast("long")
-        return rows.select("digest", (part % self.ranges).alias("range"))
+        return rows.select(*_GROUP, (part % self.ranges).alias("range"))
 
     def held(self, incoming: DataFrame) -> DataFrame:
-        """Digests of ``incoming`` (distinct) that the snapshot holds: filter first, then the exact buckets."""
-        passed = self._ranged(incoming).groupBy("range").cogroup(self.filters.groupBy("range")).applyInArrow(_screen, "digest binary")
-        return passed.join(self.buckets, "digest", "left_semi")
+        """Groups of ``incoming`` whose digests (distinct) the snapshot holds, with the bucket's keep_id and n as stored_id and stored_n: filter first, then the exact buckets."""
+        passed = self._ranged(incoming).groupBy("range").cogroup(self.filters.groupBy("range")).applyInArrow(_screen, "digest binary, keep_id long, n long")
+        return passed.join(self.buckets.select("digest", F.col("keep_id").alias("stored_id"), F.col("n").alias("stored_n")), "digest")
 
 
 def exact_groups(docs: DataFrame, *, batches: int = 2) -> DataFrame:
@@ -90,26 +93,29 @@ def exact_groups(docs: DataFrame, *, batches: int = 2) -> DataFrame:
     cuts = quantiles(hashed, "doc_id", batches)
     batch = sum((F.coalesce(F.col("doc_id") > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
 
-    grouped, held_again, snapshots = [], [], []
+    held_again, snapshots = [], []
     for b in range(len(cuts) + 1):
         groups = scratch.keep(hashed.where(batch == b).groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n")), f"groups{b}")
         fresh = groups
         for snapshot in snapshots:
-            held = scratch.keep(snapshot.held(fresh.select("digest")), "held")
+            held = scratch.keep(snapshot.held(fresh), "held")
             held_again.append(held)
             fresh = fresh.join(held, "digest", "left_anti")
         if b < len(cuts):
             snapshots.append(Snapshot(scratch, fresh))
-        grouped.append(groups)
-
-    together = grouped[0]
-    for groups in grouped[1:]:
-        together = together.unionByName(groups)
-    repeated = together.where("n > 1").select("digest")
-    for held in held_again:
-        repeated = repeated.unionByName(held)
-    repeated = scratch.keep(repeated.distinct(), "repeated")
-    classes = together.groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+
+    classes = fresh
+    for snapshot in snapshots:
+        classes = classes.unionByName(snapshot.buckets)
+    classes = classes.withColumnRenamed("n", "group_size")
+    if held_again:  # only these groups differ from what their first batch made of them
+        found = held_again[0]
+        for held in held_again[1:]:
+            found = found.unionByName(held)
+        found = found.groupBy("digest").agg(F.max(F.greatest("keep_id", "stored_id")).alias("new_id"), (F.max("stored_n") + F.sum("n")).alias("new_size"))
+        classes = classes.join(found, "digest", "left").select("digest", F.coalesce("new_id", "keep_id").alias("keep_id"), F.coalesce("new_size", "group_size").alias("group_size"))
+    classes = scratch.keep(classes, "classes")
+    repeated = scratch.keep(classes.where("group_size > 1").select("digest"), "repeated")
 
     # Byte check: only members of groups have their texts read again.
     members = scratch.keep(hashed.join(repeated, "digest", "left_semi").select("doc_id").distinct(), "members")

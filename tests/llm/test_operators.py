@@ -121,6 +121,14 @@ def test_exact_dedup_odd_rows(spark):
     assert {r.keep_id for r in long} == {1} and len(long) == 3
 
 
+def test_exact_dedup_groups_come_from_the_snapshots(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i % 5}") for i in range(10)], "doc_id long, text string")  # every copy is in the other batch
+    assert {tuple(r) for r in exact_dedup.exact_groups(docs).collect()} == brute.exact_groups(pairs(docs))
+    held = exact_dedup.Snapshot.held
+    monkeypatch.setattr(exact_dedup.Snapshot, "held", lambda self, incoming: held(self, incoming).limit(0))
+    assert {tuple(r) for r in exact_dedup.exact_groups(docs).collect()} != brute.exact_groups(pairs(docs))
+
+
 def test_fuse_filter():
     rng = np.random.default_rng(2)
     for n in (0, 1, 3, 50, 30_000):
