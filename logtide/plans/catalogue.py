@@ -54,6 +54,11 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.build_log(read(spark, sf_dir, "events"), key, F.col("event_id"), F.col("value"), gone)
 
 
+def middle(rows: DataFrame) -> int:
+    """Half of the log's last version; 0 for an empty log."""
+    return (rows.agg(F.max("seq")).first()[0] or 0) // 2
+
+
 def probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys to ask for: a purchase and a view of every hundredth customer, stored or not."""
     customers = read(spark, sf_dir, "customer").where("c_custkey % 100 = 1")
@@ -204,6 +209,16 @@ def kv_as_of(spark, sf_dir):
     return log.as_of(event_log(spark, sf_dir), 500).select("k", "seq", "v")
 
 
+@query(
+    _LOG_SQL
+    + """, cut AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log WHERE seq <= (SELECT max(seq) // 2 FROM log))
+SELECT k, seq, v FROM cut WHERE rn = 1 AND NOT deleted"""
+)
+def kv_as_of_half(spark, sf_dir):
+    rows = event_log(spark, sf_dir)
+    return log.as_of(rows, middle(rows)).select("k", "seq", "v")
+
+
 # Changes
 
 
@@ -407,6 +422,12 @@ def wal_valid_prefix(spark, sf_dir):
     return integrity.valid_prefix(rows).select("k", "seq")
 
 
+@query(_LOG_SQL + "SELECT k, seq FROM log WHERE seq < (SELECT min(seq) FROM log WHERE seq > (SELECT max(seq) // 2 FROM log) AND v < 25)")
+def wal_valid_prefix_half(spark, sf_dir):
+    rows = event_log(spark, sf_dir)
+    return integrity.valid_prefix(rows.withColumn("bad", (F.col("seq") > middle(rows)) & (F.col("v") < 25))).select("k", "seq")
+
+
 _INDEX_SQL = """WITH idx AS (
   SELECT source, doc_id AS entry, (coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
          * CASE WHEN doc_id % 9 = 4 THEN -1 ELSE 1 END)::BIGINT AS off FROM documents)

@@ -41,3 +41,13 @@ def test_whole_key_sets(spark):
     assert {r.k for r in run("kv_exists_anti_all")} == asked - stored
     assert {r.k for r in run("kv_delete_batch_all")} == stored - asked
     assert {r.k for r in run("kv_put_batch_all")} == stored | {f"order:{r.o_orderkey}" for r in table("orders").collect()}
+
+
+def test_cuts_grow_with_the_log(spark):
+    """The replayed half and the valid prefix reach half of the log at every scale."""
+    for sf in ("sf0.001", "sf0.01"):
+        events = spark.read.parquet(str(DATA / sf / "events.parquet"))
+        half = events.selectExpr("max(event_id) div 2").first()[0]
+        before = events.where(events.event_id <= half)
+        assert catalogue.QUERIES["wal_valid_prefix_half"](spark, str(DATA / sf)).count() >= before.count()
+        assert half * 0.9 < max(r.seq for r in catalogue.QUERIES["kv_as_of_half"](spark, str(DATA / sf)).collect()) <= half
