@@ -101,27 +101,27 @@ def read_checked_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_extent(spark: SparkSession, folder: str) -> DataFrame:
-    """A store of keys.dat, keys.index, values.dat and values.index, as column expressions.
+    """A store of keys.dat, keys.index, values.dat and values.index, as column expressions; of several folders, each by itself.
 
     An index holds big-endian offsets, the first 0, then the end of each record; a record
     spans two neighbours, and a negative start offset is a tombstone. Entries that a data file
     is too short for are left out.
     """
-    data = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
+    data = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
 
     def records(kind: str) -> DataFrame:
         from logtide.functions.hashing import big_endian_long
 
-        index = data.where(F.col("name") == f"{kind}.index").select(F.col("content").alias("idx"))
-        body = data.where(F.col("name") == f"{kind}.dat").select(F.col("content").alias("body"))
+        index = data.where(F.col("name") == f"{kind}.index").select("folder", F.col("content").alias("idx"))
+        body = data.where(F.col("name") == f"{kind}.dat").select("folder", F.col("content").alias("body"))
         n = F.floor(F.octet_length("idx") / 8).cast("int")
-        entry = index.crossJoin(body).select("idx", "body", F.explode(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))).alias("entry"))
+        entry = index.join(body, "folder").select("folder", "idx", "body", F.explode(F.when(n > 1, F.sequence(F.lit(0), n - 2)).otherwise(F.array().cast("array<int>"))).alias("entry"))
         a, b = big_endian_long(F.col("idx"), F.col("entry")), F.abs(big_endian_long(F.col("idx"), F.col("entry") + 1))
-        cut = entry.select("entry", a.alias("a"), b.alias("b"), "body").where(F.octet_length("body") >= F.col("b"))
+        cut = entry.select("folder", "entry", a.alias("a"), b.alias("b"), "body").where(F.octet_length("body") >= F.col("b"))
         piece = F.substring(F.col("body"), (F.abs("a") + 1).cast("int"), (F.col("b") - F.abs("a")).cast("int"))
-        return cut.select("entry", piece.alias(kind), (F.col("a") < 0).alias(f"{kind}_gone"))
+        return cut.select("folder", "entry", piece.alias(kind), (F.col("a") < 0).alias(f"{kind}_gone"))
 
-    joined = records("keys").join(records("values"), "entry")
+    joined = records("keys").join(records("values"), ["folder", "entry"])
     gone = F.col("keys_gone") | F.col("values_gone")
     return joined.select(F.col("keys").alias("k"), F.col("entry").cast("long").alias("seq"), F.when(~gone, F.col("values")).alias("v"), gone.alias("deleted"))
 

@@ -52,6 +52,23 @@ def test_extent(spark, tmp_path):
     assert b"a" not in pairs(backends.open_log(spark, "extent", str(tmp_path)))
 
 
+def test_sharded_extents(spark, tmp_path):
+    shards = [[(b"a", b"first"), (b"b", b"22")], [(b"c", b"3"), (b"d", None), (b"e", b"five")]]
+    for number, records in enumerate(shards):
+        (tmp_path / str(number)).mkdir()
+        for kind, at in (("keys", 0), ("values", 1)):
+            body, offsets = b"", [0]
+            for record in records:
+                offsets[-1] *= -1 if record[1] is None else 1
+                body += record[at] or b"DELETED"
+                offsets.append(len(body))
+            (tmp_path / str(number) / f"{kind}.dat").write_bytes(body)
+            (tmp_path / str(number) / f"{kind}.index").write_bytes(b"".join(struct.pack(">q", x) for x in offsets))
+    rows = backends.sharded("extent")(spark, str(tmp_path))
+    assert rows.count() == 5
+    assert pairs(rows) == {k: v for records in shards for k, v in records if v is not None}
+
+
 def test_json_and_objects(spark, tmp_path):
     (tmp_path / "j").mkdir()
     (tmp_path / "j/map.json").write_text(json.dumps({"k1": base64.b64encode(b"v1").decode(), "k2": ""}))
