@@ -268,15 +268,20 @@ class _Verifier:
         return found
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class (an equal set has an equal one), verified_links of its class (those that decide the components), component_id."""
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, count_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, class (an equal set has an equal one), verified_links of its class (those that decide the components), component_id.
+
+    With ``count_links`` every candidate pair is verified, not only those that decide the components: verified_links
+    are then all linked classes, and n_links counts the other documents that a document is linked to. The pairs of a
+    family of unlike texts that are all linked grow with the square of its size.
+    """
     scratch = Scratch(docs.sparkSession, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     for seed in range(20):
         kind = "doc_id long, n_shingles long, cls long, check long, band int, own array<bigint>, above array<bigint>, short array<bigint>"
         table = scratch.keep(rows.mapInArrow(_sketch(shingle, num, den, seed), kind), "sketches")
         classes = table.where("n_shingles > 0").groupBy("cls").agg(
-            F.min("doc_id").alias("first_id"), F.max("doc_id").alias("any_id"), (F.min("check") != F.max("check")).alias("mixed")
+            F.min("doc_id").alias("first_id"), F.max("doc_id").alias("any_id"), F.count("*").alias("members"), (F.min("check") != F.max("check")).alias("mixed")
         )
         classes = scratch.keep(classes, "classes")
         if classes.where("mixed").isEmpty():
@@ -287,10 +292,37 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
     members = scratch.keep(table.select("doc_id", "n_shingles", "cls"), "members")
     verifier = _Verifier(scratch, rows, table, classes, (shingle, num, den, seed))
-    by_word = Window.partitionBy("word")
     shared = _met(_halves(_met(_postings(table), "cls", "word")), "cls", "word", "low", "high")
     shared = scratch.keep(shared.select("word", "cls", "next"), "shared")
     scratch.drop(table)
+    if count_links:
+        links = verifier.links(verifier.near(verifier.between(shared.withColumn("label", F.col("cls"))).distinct()))
+        labels = components(scratch, links)
+        scratch.drop(shared)
+    else:
+        links, labels = _deciding(scratch, verifier, shared)
+
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    sized = both.join(classes.select(F.col("cls").alias("b"), "members"), "b") if count_links else both.withColumn("members", F.lit(0).cast("long"))
+    linked = sized.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("verified_links"), F.sum("members").alias("others"))
+    named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    smallest = named.groupBy("label").agg(F.min("first_id").alias("smallest"))
+    n_links = F.coalesce("others", F.lit(0)) + F.col("members") - 1
+    named = named.join(smallest, "label").join(linked, "cls", "left").select("cls", F.coalesce("verified_links", F.lit(0)).alias("verified_links"), n_links.alias("n_links"), "smallest")
+    named = scratch.keep(named, "named")
+    return members.join(named, "cls", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("n_shingles") > 0, F.col("cls")).alias("class"),
+        F.coalesce("verified_links", F.lit(0)).alias("verified_links"),
+        F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
+        *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []),
+    )
+
+
+def _deciding(scratch: Scratch, verifier: _Verifier, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The links that decide the components, and the components (node, label); drops ``shared``."""
+    by_word = Window.partitionBy("word")
     degree = scratch.keep(shared.groupBy("cls").agg(F.count("*").alias("degree")), "degree")
 
     # First every bucket's pivot against its other members, then what is left between components.
@@ -309,20 +341,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
         more = verifier.links(verifier.near(verifier.between(open_).distinct()))
         links = links.unionByName(more)
         labels = components(scratch, links)
-
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    linked = both.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("verified_links"))
-    named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    smallest = named.groupBy("label").agg(F.min("first_id").alias("smallest"))
-    named = named.join(smallest, "label").join(linked, "cls", "left").select("cls", F.coalesce("verified_links", F.lit(0)).alias("verified_links"), "smallest")
-    named = scratch.keep(named, "named")
-    return members.join(named, "cls", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("cls")).alias("class"),
-        F.coalesce("verified_links", F.lit(0)).alias("verified_links"),
-        F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
-    )
+    return links, labels
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

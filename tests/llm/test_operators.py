@@ -190,6 +190,16 @@ def test_components(spark):
     assert components(scratch.Scratch(spark, "test"), frame.where("a < 0")).count() == 0
 
 
+def test_ngram_jaccard_counts_every_link(spark):
+    """Twelve unlike texts, each linked to all others, and two copies of one of them."""
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join([*base[:20 * i], f"x{i}", *base[20 * i + 1 :]]) for i in range(12)]
+    docs = spark.createDataFrame([*enumerate([*texts, texts[0], texts[0]]), (20, "alone"), (21, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in ngram_jaccard.near_duplicates(docs, count_links=True).collect()}
+    assert {i: r.n_links for i, r in rows.items()} == {i: 13 for i in range(14)} | {20: 0, 21: 0}
+    assert {i: r.component_id for i, r in rows.items()} == {i: 0 for i in range(14)} | {20: 20, 21: 21}
+
+
 # 5: line dedup
 
 
