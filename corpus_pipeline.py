@@ -42,10 +42,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near duplicates: five words, similarity 0.8."""
-    found = ngram_jaccard.near_duplicates(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["stays"]), "left_semi")
+    """The row with the smallest doc_id of each group of near duplicates, null ids last: five words, similarity 0.8."""
+    found = ngram_jaccard.near_duplicates(docs, keyed=True)
+    alone = [F.when(F.col("label").isNull(), F.col(c)).alias(f"own_{c}") for c in ("doc_id", "text_key")]  # an empty set is a group of its own
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key"))
+    stays = found.groupBy("label", *alone).agg(first.alias("first")).select(F.col("first.doc_id").alias("stays"), F.col("first.text_key").alias("stays_key"))
+    same = docs["doc_id"].eqNullSafe(stays["stays"]) & (F.xxhash64(docs["text"]) == stays["stays_key"])
+    kept = docs.join(stays, same, "left_semi")
     return _like(kept.dropDuplicates(["doc_id", "text"]), docs)
 
 

@@ -137,8 +137,8 @@ def _sketch(shingle: int, num: int, den: int, seed: int):
                 flat, begin = sketches(values, first, short_words(size))
                 lists.append(pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), W.signed(cls), W.signed(check), pa.array(band, pa.int32()), *lists],
-                    ["doc_id", "n_shingles", "cls", "check", "band", "own", "above", "short"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), W.signed(cls), W.signed(check), pa.array(band, pa.int32()), *lists, *(c.slice(lo, hi - lo) for c in batch.columns[2:])],
+                    ["doc_id", "n_shingles", "cls", "check", "band", "own", "above", "short", *batch.schema.names[2:]],
                 )
 
     return run
@@ -268,17 +268,21 @@ class _Verifier:
         return found
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, count_links: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: int = 100, count_links: bool = False, keyed: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, class (an equal set has an equal one), verified_links of its class (those that decide the components), component_id.
 
     With ``count_links`` every candidate pair is verified, not only those that decide the components: verified_links
     are then all linked classes, and n_links counts the other documents that a document is linked to. The pairs of a
     family of unlike texts that are all linked grow with the square of its size.
+
+    With ``keyed``, text_key = xxhash64(text) tells rows of one doc_id apart, and label is the number of the component,
+    null for an empty set; a component_id may be null or shared where ids are.
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    keys = ["text_key"] if keyed else []
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *(F.xxhash64("text").alias(c) for c in keys))
     for seed in range(20):
-        kind = "doc_id long, n_shingles long, cls long, check long, band int, own array<bigint>, above array<bigint>, short array<bigint>"
+        kind = "doc_id long, n_shingles long, cls long, check long, band int, own array<bigint>, above array<bigint>, short array<bigint>" + ", text_key long" * keyed
         table = scratch.keep(rows.mapInArrow(_sketch(shingle, num, den, seed), kind), "sketches")
         classes = table.where("n_shingles > 0").groupBy("cls").agg(
             F.min("doc_id").alias("first_id"), F.max("doc_id").alias("any_id"), F.count("*").alias("members"), (F.min("check") != F.max("check")).alias("mixed")
@@ -290,7 +294,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     else:
         raise RuntimeError("two sets under one number with every seed")
 
-    members = scratch.keep(table.select("doc_id", "n_shingles", "cls"), "members")
+    members = scratch.keep(table.select("doc_id", "n_shingles", "cls", *keys), "members")
     verifier = _Verifier(scratch, rows, table, classes, (shingle, num, den, seed))
     shared = _met(_halves(_met(_postings(table), "cls", "word")), "cls", "word", "low", "high")
     shared = scratch.keep(shared.select("word", "cls", "next"), "shared")
@@ -308,7 +312,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     named = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("smallest"))
     n_links = F.coalesce("others", F.lit(0)) + F.col("members") - 1
-    named = named.join(smallest, "label").join(linked, "cls", "left").select("cls", F.coalesce("verified_links", F.lit(0)).alias("verified_links"), n_links.alias("n_links"), "smallest")
+    named = named.join(smallest, "label").join(linked, "cls", "left").select("cls", F.coalesce("verified_links", F.lit(0)).alias("verified_links"), n_links.alias("n_links"), "smallest", *(["label"] if keyed else []))
     named = scratch.keep(named, "named")
     return members.join(named, "cls", "left").select(
         "doc_id",
@@ -317,6 +321,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
         F.coalesce("verified_links", F.lit(0)).alias("verified_links"),
         F.when(F.col("n_shingles") > 0, F.col("smallest")).otherwise(F.col("doc_id")).alias("component_id"),
         *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if count_links else []),
+        *(["text_key", "label"] if keyed else []),
     )
 
 

@@ -60,3 +60,14 @@ def test_stages_on_odd_tables(spark):
             assert stage(spark, docs, SF).columns == docs.columns
             stage(spark, docs, SF).write.format("noop").mode("overwrite").save()
     assert corpus_pipeline.near_duplicates(spark, cases.odd_documents(spark), SF).where("doc_id = 1").count() == 2
+
+
+def test_near_duplicates_keep_one_row_of_each_group(spark):
+    """Near copies under one doc_id or none leave one row; an empty text without an id lets no other row through."""
+    near = lambda word: [" ".join(f"{word}{i}" for i in range(60)), " ".join(f"{word}{i}" for i in range(59)) + " other"]
+    a, b, c = near("a"), near("b"), near("c")
+    rows = [(7, a[0]), (7, a[1]), (None, b[0]), (None, b[1]), (2, c[0]), (None, c[1]), (None, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], cases.SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(i or 0 for i, _ in kept) == [0, 0, 2, 7] and len(set(kept) & {(None, t) for t in b}) == 1
+    assert {(2, c[0]), (None, "")} < set(kept)
