@@ -6,18 +6,27 @@ num/den have sizes a <= b with den * a >= num * b, and differ in at most
 
 Sketch. On a size band, every element flips one bit of one of P 64-bit words, P one more
 than the largest difference that a linked pair of this band can have. Common elements cancel,
-so the Hamming distance of two sketches is at most the symmetric difference. By the
-pigeonhole principle a linked pair has an equal word; by its ring form (P boxes in a circle that
-hold fewer than P errors) it has an equal word whose next word differs in at most one bit, and
-that together with the one after it in at most two. A document has sketches on its own band, for partners of its band or the one below, and
-on the band above. Equal words meet in one hash join; nothing else is a candidate.
-
-Candidates. The member of a bucket with the most shared words is its pivot and is paired
+so the Hamming distance of two sketches is at most the symmetric difference. A document has
+sketches on its own band, for partners of its band or the one below, and on the band above.
+
+Keys. By the ring form of the pigeonhole principle (P boxes in a circle that hold fewer than P
+errors) a linked pair has a place from which on any n words in a row hold fewer than n errors: the
+first word is equal, and of the n - 1 words after it, cut into halves, at least n - 1 halves are. A word with few
+set bits says little: one in twenty to several hundred is empty. So a key takes in equal halves until its
+content is rare enough among unrelated sets. The first word alone is a key if it is; else it is joined with either
+half of the next word; a key that is still too common is joined with any of the three halves then
+unused among the next two words, and so on, up to four halves. Both documents of a pair have equal bits in what they share, so they take
+the same steps. The rarity asked for grows with the number of documents, so that
+about as many unrelated documents meet under a key at any size, for a few more keys.
+
+Candidates. Equal keys meet in hash joins; nothing else is a candidate, and next words must
+differ in at most one bit, and with those after them in two. The member of a bucket with the most shared keys is its pivot and is paired
 with the others. Verified links are contracted to components; pivots, which met every other
 member, leave, and so do buckets that lie within one component. The pairs of a bucket that
 are left between different components, by the same test, come from one more join. No
 linked pair in different components is ever left out, so components are exact, while
-copies of one text cost a pair each.
+copies of one text cost a pair each. What a bucket holds is told by partial aggregates and
+joined back, so a bucket of any size is spread over tasks.
 
 Verification. Pairs are struck out by the Hamming distance of short sketches first; the rest
 have their whole shingle sets intersected.
@@ -29,18 +38,18 @@ with other hashes.
 Nulls and odd rows: a null or empty text, or one without words, has an empty set, links with
 nothing and is its own component; a null doc_id takes part, and a component_id is the
 smallest doc_id that isn't null; repeated rows are members of one class; an empty table gives
-an empty result; other columns of the input are not read.
+an empty result; a text of any length is one set, and memory follows the longest text; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from logtide.llm import words as W
 from logtide.llm.components import components
@@ -52,6 +61,8 @@ _BITS = 64
 #: Words of the short sketch of a set of up to so many elements; it doubles with the size.
 _SHORT_WORDS, _SHORT_SIZE = 16, 400
 _LOW = 0xFFFF
+#: Most halves that a key takes in, words of sketches turned into keys at a time, and classes that a task remembers.
+_MOST_HALVES, _RUN_WORDS, _SEEN = 4, 1 << 16, 200_000
 
 
 def band_limits(num: int, den: int, largest: int = 1 << 40) -> list[int]:
@@ -109,9 +120,70 @@ def sketches(values: np.ndarray, first: np.ndarray, parts: np.ndarray) -> tuple[
     begin = np.concatenate([[0], np.cumsum(parts)])
     count = np.diff(first)
     part = ((values >> _U(32)) * np.repeat(parts, count).astype(_U)) >> _U(32)
-    bit = (np.repeat(begin[:-1], count) + part.astype(np.int64)) * _BITS + (values & _U(_BITS - 1)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=int(begin[-1]) * _BITS) & 1).astype(bool)
-    return np.packbits(odd, bitorder="little").view("<i8"), begin
+    word = np.repeat(begin[:-1], count) + part.astype(np.int64)
+    out = np.zeros(int(begin[-1]), _U)
+    np.bitwise_xor.at(out, word, _U(1) << (values & _U(_BITS - 1)))
+    return out.view("<i8"), begin
+
+
+def bits_needed(documents: int, num: int, den: int) -> np.ndarray:
+    """Set bits that a key needs, by band and by how many halves it has taken in.
+
+    A key's information, from how likely words of unrelated sets have its content, is to reach about the logarithm
+    of the number of documents, so few of them meet by chance however many there are.
+    """
+    limits = np.array(band_limits(num, den))
+    per_word = limits[:-1] / np.array(band_parts(num, den, limits.tolist()))  # elements a word, the same for both documents of a pair
+    of_set, of_clear = np.log2(_BITS / per_word), per_word / _BITS * np.log2(np.e)
+    width = _BITS + _BITS // 2 * np.arange(_MOST_HALVES + 1)
+    wanted = max(math.log2(max(documents, 2)) - 1, 6)
+    return np.ceil((wanted - np.outer(of_clear, width)) / (of_set - of_clear)[:, None]).astype(np.int64)
+
+
+def key_rows(flat: np.ndarray, begin: np.ndarray, band: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of sketches (words, where each text's begin, its band): text, key, and the two next words.
+
+    The next words are folded to 16 bits each by XOR, which keeps them parity sketches; the first is in
+    the low bits. A sketch of one word has no keys: its linked sets are equal.
+    """
+    words, parts = flat.view(_U), np.diff(begin)
+    text = np.repeat(np.arange(len(parts)), parts)
+    text = text[parts[text] > 1] if len(text) else text
+    start = np.flatnonzero(np.repeat(parts > 1, parts))
+    place = start - begin[text]
+
+    def after(rows: np.ndarray, n: int | np.ndarray) -> np.ndarray:
+        own = text[rows]
+        return words[begin[own] + (place[rows] + n) % parts[own]]
+
+    def folded(x: np.ndarray) -> np.ndarray:
+        for half in (32, 16):
+            x = x ^ (x >> _U(half))
+        return (x & _U(_LOW)).astype(np.uint32)
+
+    rows = np.arange(len(start))
+    follow = (folded(after(rows, 1)) | (folded(after(rows, 2)) << np.uint32(16))).view(np.int32)
+    key = W.mix(words[start] + W.mix(place.astype(_U) * _U(0x9E3779B97F4A7C15) + band[text].astype(_U)))
+    bits, used = np.bitwise_count(words[start]).astype(np.int64), np.zeros(len(start), np.int64)
+    out = []
+    for taken in range(1, _MOST_HALVES + 2):
+        own = text[rows]
+        ready = (bits >= needed[band[own], taken - 1]) | (parts[own] <= taken) | (taken > _MOST_HALVES)
+        out.append((rows[ready], key[ready]))
+        rows, key, bits, used = (x[~ready] for x in (rows, key, bits, used))
+        if not len(rows):
+            break
+        branches = []
+        for half in range(2 * taken):
+            free = np.flatnonzero(used >> half & 1 == 0)
+            value = (after(rows[free], 1 + half // 2) >> _U(32 * (half % 2))) & _U(0xFFFFFFFF)
+            # Sums of mixed halves, so that the order in which they were taken doesn't matter.
+            branches.append((rows[free], key[free] + W.mix(value + _U((half + 1) << 32)), bits[free] + np.bitwise_count(value), used[free] | 1 << half))
+        rows, key, bits, used = (np.concatenate(c) for c in zip(*branches, strict=True))
+        _, once = np.unique(rows << 2 * _MOST_HALVES | used, return_index=True)  # the same halves, taken in another order
+        rows, key, bits, used = (x[once] for x in (rows, key, bits, used))
+    rows, key = (np.concatenate(c) for c in zip(*out, strict=True))
+    return text[rows], W.mix(key), follow[rows]
 
 
 def short_words(size: np.ndarray) -> np.ndarray:
@@ -155,47 +227,47 @@ def _sets(shingle: int, seed: int):
     return run
 
 
-def _postings(table: DataFrame) -> DataFrame:
-    """(word, cls, next) for every word of both sketches.
-
-    ``word`` hashes band, place and value; ``next`` holds the next word in its low 16 bits and the
-    one after it above them, both folded to 16 bits by XOR, which keeps them parity sketches.
-    """
-
-    def folded(x: Column) -> Column:
-        for half in (32, 16):
-            x = x.bitwiseXOR(F.shiftrightunsigned(x, half))
-        return x.bitwiseAND(F.lit(_LOW))
-
-    def of(column: str, up: int) -> DataFrame:
-        def follow(i: Column, n: int) -> Column:
-            return folded(F.element_at(column, (i + n) % F.size(column) + 1))
-
-        entry = F.transform(
-            column,
-            lambda x, i: F.struct(F.xxhash64(F.col("band") + up, i, x).alias("word"), follow(i, 1).bitwiseOR(F.shiftleft(follow(i, 2), 16)).alias("next")),
-        )
-        return table.where("n_shingles > 0").select("cls", F.explode(entry).alias("e")).select("e.word", "cls", "e.next")
-
-    return of("own", 0).unionByName(of("above", 1))
+def _keyed(needed: np.ndarray, with_next: bool):
+    """Stored sketches to (word, cls) or (word, cls, next): the keys of both sketches. A task gives a class's keys once, as far as it remembers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            cls = batch.column(0).to_numpy()
+            new = np.zeros(len(cls), bool)
+            for i, c in enumerate(cls.tolist()):
+                new[i] = c not in seen
+                if len(seen) < _SEEN:
+                    seen.add(c)
+            batch, cls = batch.filter(pa.array(new)), cls[new]
+            band = batch.column(1).to_numpy()
+            for up in (0, 1):
+                lists = batch.column(2 + up).cast(pa.large_list(pa.int64()))
+                ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                lo = 0
+                while lo < len(cls):
+                    hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _RUN_WORDS, "right")) - 1)
+                    text, key, follow = key_rows(flat[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], band[lo:hi] + up, needed)
+                    columns = [W.signed(key), pa.array(cls[lo:hi][text])] + [pa.array(follow)] * with_next
+                    yield pa.RecordBatch.from_arrays(columns, ["word", "cls", "next"][: len(columns)])
+                    lo = hi
 
-def _halves(postings: DataFrame) -> DataFrame:
-    """With the next word cut in two."""
-    return postings.withColumns({"low": F.col("next").bitwiseAND(F.lit(0xFF)), "high": F.shiftright("next", 8).bitwiseAND(F.lit(0xFF))})
+    return run
 
 
-def _met(postings: DataFrame, name: str, word: str, *halves: str) -> DataFrame:
-    """Postings that share their word with one of another ``name``; given halves, with one that has an equal half too.
+def _shared_keys(scratch: Scratch, table: DataFrame, needed: np.ndarray) -> DataFrame:
+    """(word, cls, next): the keys that two classes or more have, in two passes over the sketches.
 
-    Next words that differ in at most one bit have an equal half, so no candidate is lost.
+    The first aggregates each key's smallest and largest class, so a key of any number of classes costs a row
+    a task; the second joins all keys to those of the first. Hot keys are skewed join partitions, which Spark splits.
     """
-    spread, meets = {}, F.lit(False)
-    for i, half in enumerate(halves or [None]):
-        group = Window.partitionBy(word, half) if half else Window.partitionBy(word)
-        spread |= {f"lo{i}": F.min(name).over(group), f"hi{i}": F.max(name).over(group)}
-        meets = meets | (F.col(f"lo{i}") < F.col(f"hi{i}"))
-    return postings.withColumns(spread).where(meets).drop(*spread)
+    rows = table.where("n_shingles > 0").select("cls", "band", "own", "above")
+    met = rows.mapInArrow(_keyed(needed, False), "word long, cls long").groupBy("word").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    met = scratch.keep(met.where("lo < hi").select("word"), "met")
+    shared = scratch.keep(rows.mapInArrow(_keyed(needed, True), "word long, cls long, next int").join(met.hint("merge"), "word", "left_semi"), "shared")
+    scratch.drop(met)
+    return shared
 
 
 def _follows(a: str, b: str) -> Column:
@@ -296,11 +368,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
     members = scratch.keep(table.select("doc_id", "n_shingles", "cls", *keys), "members")
     verifier = _Verifier(scratch, rows, table, classes, (shingle, num, den, seed))
-    shared = _met(_halves(_met(_postings(table), "cls", "word")), "cls", "word", "low", "high")
-    shared = scratch.keep(shared.select("word", "cls", "next"), "shared")
+    shared = _shared_keys(scratch, table, bits_needed(table.count(), num, den))
     scratch.drop(table)
     if count_links:
-        links = verifier.links(verifier.near(verifier.between(shared.withColumn("label", F.col("cls"))).distinct()))
+        links = verifier.links(verifier.near(verifier.between(shared.distinct().withColumn("label", F.col("cls"))).distinct()))
         labels = components(scratch, links)
         scratch.drop(shared)
     else:
@@ -327,21 +398,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
 def _deciding(scratch: Scratch, verifier: _Verifier, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The links that decide the components, and the components (node, label); drops ``shared``."""
-    by_word = Window.partitionBy("word")
     degree = scratch.keep(shared.groupBy("cls").agg(F.count("*").alias("degree")), "degree")
 
     # First every bucket's pivot against its other members, then what is left between components.
-    best = F.max(F.struct("degree", "cls", "next")).over(by_word)
-    starred = shared.join(counted(degree), "cls").withColumn("p", best).select("word", "cls", "next", F.col("p.cls").alias("pivot"), F.col("p.next").alias("pivot_next"))
-    starred = scratch.keep(starred, "starred")
+    best = shared.join(counted(degree), "cls").groupBy("word").agg(F.max(F.struct("degree", "cls", "next")).alias("p"))
+    best = best.select("word", F.col("p.cls").alias("pivot"), F.col("p.next").alias("pivot_next"))
+    starred = scratch.keep(shared.join(best.hint("merge"), "word").where("cls <> pivot"), "starred")
     scratch.drop(shared)
-    stars = starred.where((F.col("cls") != F.col("pivot")) & _follows("next", "pivot_next")).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
+    stars = starred.where(_follows("next", "pivot_next")).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
     links = verifier.links(verifier.near(stars.distinct()))
     labels = components(scratch, links)
-    rest = starred.where("cls <> pivot").select("word", "cls", "next")
+    rest = starred.select("word", "cls", "next")
     named = rest.join(counted(labels).withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    open_ = scratch.keep(_met(_halves(named.repartition("word")), "label", "word", "low", "high").select("word", "cls", "next", "label"), "open")
+    named = scratch.keep(named.distinct(), "named")
     scratch.drop(starred)
+    open_words = named.groupBy("word").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("word")
+    open_ = scratch.keep(named.join(open_words.hint("merge"), "word", "left_semi"), "open")
+    scratch.drop(named)
     if not open_.isEmpty():
         more = verifier.links(verifier.near(verifier.between(open_).distinct()))
         links = links.unionByName(more)

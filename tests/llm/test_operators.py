@@ -182,6 +182,51 @@ def test_sketch_bounds():
     assert 0 < int(np.bitwise_count(x ^ y).sum()) <= 35
 
 
+def random_sets(rng, n, size):
+    values = np.sort(rng.integers(0, 2**64 - 1, (n, size), dtype=np.uint64), axis=1)
+    return values.ravel(), np.arange(n + 1) * size
+
+
+@pytest.mark.parametrize("num", [80, 85])
+def test_unrelated_sets_meet_in_proportion(num):
+    """Pairs under equal keys and the largest bucket hardly grow per set while the sets become sixteen times as many."""
+    rng, limits = np.random.default_rng(9), ngram_jaccard.band_limits(num, 100)
+    parts, size, found = np.array(ngram_jaccard.band_parts(num, 100, limits)), 200, {}
+    for n in (2000, 8000, 32_000):
+        values, first = random_sets(rng, n, size)
+        band, pairs, largest, n_keys = np.full(n, np.searchsorted(limits, size, "right") - 1), 0, 0, 0
+        for up in (0, 1):
+            text, key, _ = ngram_jaccard.key_rows(*ngram_jaccard.sketches(values, first, parts[band + up]), band + up, ngram_jaccard.bits_needed(n, num, 100))
+            count = np.unique(key, return_counts=True)[1]
+            pairs, largest, n_keys = pairs + int((count * (count - 1) // 2).sum()), max(largest, int(count.max())), n_keys + len(key)
+        found[n] = pairs / n, largest, n_keys / n
+    (few, _, keys), (many, largest, more_keys) = found[2000], found[32_000]
+    assert many < 4 * max(few, 2) and largest < 40 and more_keys < 1.5 * keys
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (85, 100), (50, 100)])
+def test_linked_sets_share_a_key(num, den):
+    """Whatever the number of documents asks of keys, two sets at the threshold share one, with next words as near as the test wants."""
+    rng, limits = np.random.default_rng(10), ngram_jaccard.band_limits(num, den)
+    parts = np.array(ngram_jaccard.band_parts(num, den, limits))
+    for trial in range(150):
+        common, documents = int(rng.integers(3, 400)), 10 ** int(rng.integers(1, 12))
+        apart = (den - num) * common // num
+        left = int(rng.integers(0, apart + 1))
+        shared = rng.integers(0, 2**64 - 1, common, dtype=np.uint64)
+        a, b = (np.sort(np.concatenate([shared, rng.integers(0, 2**64 - 1, n, dtype=np.uint64)])) for n in (left, apart - left))
+        if not apart:
+            continue
+        low, high = sorted(int(np.searchsorted(limits, len(x), "right")) - 1 for x in (a, b))
+        needed, sides = ngram_jaccard.bits_needed(documents, num, den), []
+        for x in (a, b):
+            flat, begin = ngram_jaccard.sketches(x, np.array([0, len(x)]), parts[[high]])
+            _, key, follow = ngram_jaccard.key_rows(flat, begin, np.array([high]), needed)
+            sides.append(dict(zip(key.tolist(), follow.tolist(), strict=True)))
+        near = [bin((sides[0][k] ^ sides[1][k]) & 0xFFFFFFFF) for k in set(sides[0]) & set(sides[1])]
+        assert high - low <= 1 and any(x.count("1") <= 2 and bin(int(x, 2) & 0xFFFF).count("1") <= 1 for x in near), trial
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 130)] + [(200, 201), (201, 202), (200, 202)]
     frame = spark.createDataFrame(edges, "a long, b long")
