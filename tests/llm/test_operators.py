@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import time
 import zlib
 
 import numpy as np
@@ -379,6 +380,25 @@ def test_linking():
         assert secret_scan.linked(text, base, parts, 100) == brute_links(base, parts, text, 100)
 
 
+def test_partners():
+    text = "user=alice key aB3dE5gH7jK9mN1pQ3sT5 at https://api.example.com/v1"
+    _, found, links = secret_scan.scan_links(text)
+    named = {a[2]: b[2] for a, b in links}
+    assert [a for a, _ in links] == found and named == {"identifier": "secret", "secret": "endpoint", "endpoint": "secret"}
+
+
+def test_long_runs_are_scanned_in_linear_time():
+    """Unbroken runs of a million characters, and short pieces many times over, take less than a second each."""
+    rng = np.random.default_rng(11)
+    alphabets = ["ab.-_+xyzABC019", "acgt", "ACGT", "0123456789abcdef", "a", "A", "9", ".", "-", "+/=", "a@", "@", "a.", "1.", ":/", " =", "a://", "user=", "user ", "password ", "AKIA", "token=\"", "'", "\n"]
+    for letters in alphabets:
+        body = "".join(rng.choice(list(letters), 1_000_000))
+        for text in (f"x=1 @ . :// password AKIA {body}", f"x=1 @ . :// {letters * (1_000_000 // len(letters))}", f"user{body}@", f"a@{body}"):
+            began = time.process_time()
+            secret_scan.scan(text)
+            assert time.process_time() - began < 1.0, (letters, text[:40])
+
+
 # 9: substring dedup
 
 
