@@ -324,11 +324,72 @@ def test_viterbi_is_the_best_path():
         assert tuple(chain.decode(x, np.array([0, n, n]))) == best
 
 
+def test_gradients_of_the_chain():
+    """The gradients agree with differences of the likelihood, and the likelihood with a sum over all label sequences."""
+    rng, n = np.random.default_rng(12), quality_rules.LINE_FEATURES
+    sequences = [rng.normal(size=(k, n)) for k in (1, 5, 3, 5, 2)]
+    labels = [rng.integers(0, 2, len(s)) for s in sequences]
+    sample, w, p = quality_rules.Sample.of(sequences, labels), rng.normal(size=(2, n)), rng.normal(size=(2, 2))
+    value, up_w, up_p = quality_rules.likelihood(sample, w, p)
+    score = lambda x, y: sum(x[i] @ w[a] for i, a in enumerate(y)) + sum(p[a, b] for a, b in itertools.pairwise(y))
+    plain = sum(score(x, y) - np.log(sum(np.exp(score(x, z)) for z in itertools.product((0, 1), repeat=len(x)))) for x, y in zip(sequences, labels, strict=True))
+    assert value == pytest.approx(plain)
+    for array, up in ((w, up_w), (p, up_p)):
+        for at in np.ndindex(array.shape):
+            values = []
+            for step in (1e-5, -1e-5):
+                array[at] += step
+                values.append(quality_rules.likelihood(sample, w, p)[0])
+                array[at] -= step
+            assert up[at] == pytest.approx((values[0] - values[1]) / 2e-5, abs=1e-5)
+
+
+PROSE = [f"The {a} {b} of the {c} was {d}, and it came to the {a} near the {c}." for a, b, c, d in zip("river house garden letter".split(), "colour weight sound shape".split(), "valley market island harbour".split(), "green heavy quiet round".split(), strict=True)]
+MENU = ["Home | About | News | Shop | Help", "Log in | Sign up | Terms of use | Privacy policy", "$$$ 1 *** 2 ### 3 %%%", "Copyright 2020 | All rights reserved | Cookie settings"]
+
+
+def trained_on_small_documents(spark, repeats=1):
+    rows = [(i, "\n".join(PROSE[i % 4 :] + [f"Then number {i} went home quietly again."])) for i in range(0, 80, 2)] + [(i, "\n".join(MENU[i % 4 :] + MENU)) for i in range(1, 80, 2)]
+    docs = spark.createDataFrame(rows * repeats, "doc_id long, text string")
+    return docs, quality_rules.train(docs, spark.createDataFrame([(i, 1 - i % 2) for i, _ in rows], "doc_id long, quality int"))
+
+
+def test_boilerplate_around_content(spark):
+    _, chain = trained_on_small_documents(spark)
+    text = "\n".join([*MENU[:2], *PROSE, *MENU[2:]])
+    raw = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(raw)])
+    lines = quality_rules.lines_of(offsets, raw, words.split(offsets, raw))
+    assert chain.decode(lines.x, lines.first).tolist() == [0, 0, 1, 1, 1, 1, 0, 0]
+    row = quality_rules.judge(spark.createDataFrame([(1, text)], "doc_id long, text string"), chain).first()
+    assert 0.5 < row.content_share < 1 and row.kept
+
+
+def test_training_takes_one_row_of_a_repeated_document(spark, monkeypatch):
+    seen = []
+    learn = quality_rules.learn
+    monkeypatch.setattr(quality_rules, "learn", lambda sequences, *rest, **options: seen.append(len(sequences)) or learn(sequences, *rest, **options))
+    _, once = trained_on_small_documents(spark)
+    _, often = trained_on_small_documents(spark, repeats=30)
+    assert seen[0] == seen[1] <= 80 and np.array_equal(once.weights, often.weights)
+
+
+def test_bound_labels_agree_with_the_document():
+    rng = np.random.default_rng(13)
+    for _ in range(100):
+        n = int(rng.integers(1, 9))
+        chars, start, margin = rng.integers(1, 50, n).astype(float), rng.integers(0, 2, n), rng.normal(size=n)
+        for quality in (0, 1):
+            content = quality_rules.bound(start, margin, chars, quality, 0.5)
+            assert ((chars * content).sum() / chars.sum() >= 0.5) == (quality == 1)
+
+
 def test_trained_chain(spark):
     sf = str(DATA / "sf0.1")
     rows = registry.QUERIES["op7_quality_rules"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("NOT base_failed").toPandas()
     held = rows[[zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id]]
     assert held[held.quality == 1].kept.mean() > 0.99 and held[held.quality == 0].kept.mean() < 0.1
+    assert registry.QUERIES["op7_quality_rules"](spark, sf).where("content_share > 0 AND content_share < 1").count() > 200
 
 
 # 8: secret scan
