@@ -12,11 +12,12 @@ added up. The runs together then tell which keys are frequent and who holds them
 
 Hashes have 128 bits. Occurrences are aggregated before every shuffle and joined to the
 frequent keys, so a line that all documents share is a skewed join that Spark splits; a
-document's own list is bounded by its lines.
+row's own list is bounded by its lines, because rows are told apart by doc_id and a hash of the text.
 
-Nulls and odd rows: a null or empty text is one empty line; every row counts as a document,
-so repeated rows count repeatedly and all rows with the holder's doc_id keep their lines; a
-null doc_id holds a line only if no other does; an empty table gives an empty result; other
+Nulls and odd rows: a null or empty text is one empty line; rows of one doc_id are one document, so
+repeated rows count once and all rows with the holder's doc_id keep their lines; rows without a
+doc_id are together one document, which ranks below all others; a key found several times in one document counts once;
+an empty table gives an empty result; texts of any length are read whole, one at a time; other
 columns are not read, except by ``rewritten``, which keeps them.
 """
 
@@ -53,7 +54,8 @@ def _keys_of(min_chars: int):
                 found = {_key(line, min_chars) for line in (text.as_py() or b"").split(b"\n")} - {None}
                 rows += [i] * len(found)
                 keys += found
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.binary())], ["doc_id", "key"])
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(keys, pa.binary())], ["doc_id", "text_key", "key"])
 
     return run
 
@@ -99,19 +101,32 @@ class LineRuns:
         return self._merged(self.runs())
 
 
+def _of_documents(scratch: Scratch, docs: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(doc_id, key) once for each document that holds a key. A row's keys are distinct, so only rows of repeated ids are aggregated."""
+    many = scratch.keep(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("many_id")), "repeated")
+    pairs = occurrences.select("doc_id", "key")
+    if many.isEmpty():
+        return pairs
+    repeated = F.col("doc_id").eqNullSafe(F.col("many_id"))
+    return pairs.join(many, repeated, "left_anti").unionByName(pairs.join(many, repeated, "left_semi").distinct())
+
+
 def dropped_keys(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, batches: int = 3, fanout: int = 2) -> DataFrame:
-    """(doc_id, keys): the hashes of the keys whose lines the document loses; documents that lose none are left out."""
+    """(doc_id, text_key, keys): the hashes of the keys whose lines a row loses; text_key is xxhash64(text). Rows that lose none are left out."""
     scratch = Scratch(docs.sparkSession, "lines")
-    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_keys_of(min_chars), "doc_id long, key binary")
-    occurrences = scratch.keep(found, "occurrences")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+    occurrences = scratch.keep(rows.mapInArrow(_keys_of(min_chars), "doc_id long, text_key long, key binary"), "occurrences")
+    held = _of_documents(scratch, rows.select("doc_id"), occurrences)
     cuts = quantiles(occurrences, "doc_id", batches)
     runs = LineRuns(scratch, fanout)
     batch = sum((F.coalesce(F.col("doc_id") > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
     for b in range(len(cuts), -1, -1):
-        runs.add(occurrences.where(batch == b))
+        runs.add(held.where(batch == b))
     frequent = scratch.keep(runs.merged().where(F.col("n_docs") >= min_docs).select("key", "holder"), "frequent")
     lost = occurrences.join(frequent, "key").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-    return scratch.keep(lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "lost")
+    lost = scratch.keep(lost.groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("keys")), "lost")
+    scratch.drop(occurrences, frequent, *runs.runs())
+    return lost
 
 
 def _rewrite(min_chars: int, digest: bool):
@@ -132,14 +147,17 @@ def _rewrite(min_chars: int, digest: bool):
     return run
 
 
-def rewritten(docs: DataFrame, *, digest: bool = False, min_chars: int = 20, **options: int) -> DataFrame:
+def rewritten(docs: DataFrame, *, digest: bool = False, min_chars: int = 20, broadcast_rows: int = BROADCAST_ROWS, **options: int) -> DataFrame:
     """row (the input without its text, as a struct), n_lines, n_dropped, kept (the text that stays, or its SHA-256 in hex)."""
-    lost = dropped_keys(docs, min_chars=min_chars, **options).select(F.col("doc_id").alias("lost_id"), "keys")
-    if (lost.agg(F.sum(F.size("keys"))).first()[0] or 0) <= BROADCAST_ROWS:  # then texts needn't move
+    lost = dropped_keys(docs, min_chars=min_chars, **options).select(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key"), "keys")
+    if (lost.agg(F.sum(F.size("keys"))).first()[0] or 0) <= broadcast_rows:  # then texts needn't move
         lost = F.broadcast(lost)
+    else:
+        lost = lost.hint("merge")
     rest = [F.col("doc_id").cast("long").alias("doc_id")] + [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select(F.struct(*rest).alias("row"), "text")
-    joined = rows.join(lost, F.col("row.doc_id").eqNullSafe(F.col("lost_id")), "left").select("row", "text", "keys")
+    same = F.col("row.doc_id").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("lost_key"))
+    joined = rows.join(lost, same, "left").select("row", "text", "keys")
     kind = T.StructType([joined.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_lines", "n_dropped")), T.StructField("kept", T.StringType())])
     return joined.mapInArrow(_rewrite(min_chars, digest), kind)
 

@@ -55,17 +55,19 @@ def line_key(line):
     return low(line.strip(SPACE))
 
 
-def without_lines(rows, min_chars=20, min_docs=3):
+def without_lines(rows, min_chars=20, min_docs=3, row=False):
+    """By doc_id, or by row; rows without an id are one document that ranks below all others."""
     holders = defaultdict(set)
     for i, t in rows:
         for line in (t or "").split("\n"):
             if len(line_key(line)) >= min_chars:
                 holders[line_key(line)].add(i)
+    largest = {k: max((x for x in v if x is not None), default=None) for k, v in holders.items()}
     out = {}
-    for i, t in rows:
+    for n, (i, t) in enumerate(rows):
         lines = (t or "").split("\n")
-        kept = [x for x in lines if not (len(holders.get(line_key(x), ())) >= min_docs and i != max(holders[line_key(x)]))]
-        out[i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
+        kept = [x for x in lines if not (len(holders.get(line_key(x), ())) >= min_docs and i != largest[line_key(x)])]
+        out[n if row else i] = (len(lines), len(lines) - len(kept), "\n".join(kept))
     return out
 
 

@@ -261,10 +261,23 @@ def test_line_dedup(spark):
 
 def test_line_dedup_odd_rows(spark):
     rows = line_dedup.rewritten(cases.odd_documents(spark)).select("row.doc_id", "n_dropped", "kept").collect()
-    assert sorted((str(r.doc_id), r.n_dropped) for r in rows if r.n_dropped) == [("2", 1), ("None", 1), ("None", 1)]
+    assert sorted((str(r.doc_id), r.n_dropped) for r in rows if r.n_dropped) == [("2", 1), ("None", 1)]
     assert len(rows) == 10
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
+def test_line_dedup_counts_documents(spark, broadcast_rows):
+    """Rows of one doc_id are one document, as in the SQL; both ways of joining the dropped lines give the same texts."""
+    line = "the same long line of text"
+    two = [(1, line), (1, line), (2, line)]
+    three = [*two, (3, f"{line}\nother"), (None, f"x\n{line}"), (None, "a\n" + line), (None, None)]
+    for rows, dropped in ((two, 0), (three, 5)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        found = line_dedup.rewritten(docs, broadcast_rows=broadcast_rows).select("row.doc_id", "n_dropped", "kept").collect()
+        assert sum(r.n_dropped for r in found) == dropped and len(found) == len(rows)
+        assert {(r.doc_id, r.kept) for r in found} == {(i, brute.without_lines(rows, row=True)[k][2]) for k, (i, _) in enumerate(rows)}
+
+
 # 6: quality classifier
 
 
