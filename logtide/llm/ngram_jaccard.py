@@ -63,6 +63,8 @@ _SHORT_WORDS, _SHORT_SIZE = 16, 400
 _LOW = 0xFFFF
 #: Most halves that a key takes in, words of sketches turned into keys at a time, and classes that a task remembers.
 _MOST_HALVES, _RUN_WORDS, _SEEN = 4, 1 << 16, 200_000
+#: Rounds in which keys are matched, each with its share of the keys; more rounds need less disk at once and work keys out more often.
+ROUNDS = 2
 
 
 def band_limits(num: int, den: int, largest: int = 1 << 40) -> list[int]:
@@ -227,8 +229,8 @@ def _sets(shingle: int, seed: int):
     return run
 
 
-def _keyed(needed: np.ndarray, with_next: bool):
-    """Stored sketches to (word, cls) or (word, cls, next): the keys of both sketches. A task gives a class's keys once, as far as it remembers."""
+def _keyed(needed: np.ndarray, nth: int, with_next: bool):
+    """Stored sketches to (word, cls) or (word, cls, next): the nth round's keys of both sketches. A task gives a class's keys once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -249,6 +251,8 @@ def _keyed(needed: np.ndarray, with_next: bool):
                 while lo < len(cls):
                     hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _RUN_WORDS, "right")) - 1)
                     text, key, follow = key_rows(flat[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], band[lo:hi] + up, needed)
+                    own = key % _U(ROUNDS) == nth
+                    text, key, follow = text[own], key[own], follow[own]
                     columns = [W.signed(key), pa.array(cls[lo:hi][text])] + [pa.array(follow)] * with_next
                     yield pa.RecordBatch.from_arrays(columns, ["word", "cls", "next"][: len(columns)])
                     lo = hi
@@ -256,18 +260,21 @@ def _keyed(needed: np.ndarray, with_next: bool):
     return run
 
 
-def _shared_keys(scratch: Scratch, table: DataFrame, needed: np.ndarray) -> DataFrame:
-    """(word, cls, next): the keys that two classes or more have, in two passes over the sketches.
+def _shared_keys(scratch: Scratch, table: DataFrame, needed: np.ndarray) -> list[DataFrame]:
+    """(word, cls, next): the keys that two classes or more have, in two passes over the sketches for each round.
 
     The first aggregates each key's smallest and largest class, so a key of any number of classes costs a row
     a task; the second joins all keys to those of the first. Hot keys are skewed join partitions, which Spark splits.
     """
     rows = table.where("n_shingles > 0").select("cls", "band", "own", "above")
-    met = rows.mapInArrow(_keyed(needed, False), "word long, cls long").groupBy("word").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-    met = scratch.keep(met.where("lo < hi").select("word"), "met")
-    shared = scratch.keep(rows.mapInArrow(_keyed(needed, True), "word long, cls long, next int").join(met.hint("merge"), "word", "left_semi"), "shared")
-    scratch.drop(met)
-    return shared
+    found = []
+    for nth in range(ROUNDS):
+        met = rows.mapInArrow(_keyed(needed, nth, False), "word long, cls long").groupBy("word").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+        met = scratch.keep(met.where("lo < hi").select("word"), "met")
+        keys = rows.mapInArrow(_keyed(needed, nth, True), "word long, cls long, next int")
+        found.append(scratch.keep(keys.join(met.hint("merge"), "word", "left_semi"), "shared"))
+        scratch.drop(met)
+    return found
 
 
 def _follows(a: str, b: str) -> Column:
@@ -368,14 +375,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
     members = scratch.keep(table.select("doc_id", "n_shingles", "cls", *keys), "members")
     verifier = _Verifier(scratch, rows, table, classes, (shingle, num, den, seed))
-    shared = _shared_keys(scratch, table, bits_needed(table.count(), num, den))
+    stored = _shared_keys(scratch, table, bits_needed(table.count(), num, den))
+    shared = stored[0]
+    for more in stored[1:]:
+        shared = shared.unionByName(more)
     scratch.drop(table)
     if count_links:
         links = verifier.links(verifier.near(verifier.between(shared.distinct().withColumn("label", F.col("cls"))).distinct()))
         labels = components(scratch, links)
-        scratch.drop(shared)
     else:
         links, labels = _deciding(scratch, verifier, shared)
+    scratch.drop(*stored)
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     sized = both.join(classes.select(F.col("cls").alias("b"), "members"), "b") if count_links else both.withColumn("members", F.lit(0).cast("long"))
@@ -385,6 +395,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
     n_links = F.coalesce("others", F.lit(0)) + F.col("members") - 1
     named = named.join(smallest, "label").join(linked, "cls", "left").select("cls", F.coalesce("verified_links", F.lit(0)).alias("verified_links"), n_links.alias("n_links"), "smallest", *(["label"] if keyed else []))
     named = scratch.keep(named, "named")
+    scratch.drop_all_but(members, named)
     return members.join(named, "cls", "left").select(
         "doc_id",
         "n_shingles",
@@ -397,14 +408,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
 
 def _deciding(scratch: Scratch, verifier: _Verifier, shared: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The links that decide the components, and the components (node, label); drops ``shared``."""
+    """The links that decide the components, and the components (node, label)."""
     degree = scratch.keep(shared.groupBy("cls").agg(F.count("*").alias("degree")), "degree")
 
     # First every bucket's pivot against its other members, then what is left between components.
     best = shared.join(counted(degree), "cls").groupBy("word").agg(F.max(F.struct("degree", "cls", "next")).alias("p"))
     best = best.select("word", F.col("p.cls").alias("pivot"), F.col("p.next").alias("pivot_next"))
     starred = scratch.keep(shared.join(best.hint("merge"), "word").where("cls <> pivot"), "starred")
-    scratch.drop(shared)
     stars = starred.where(_follows("next", "pivot_next")).select(F.col("pivot").alias("a"), F.col("cls").alias("b"))
     links = verifier.links(verifier.near(stars.distinct()))
     labels = components(scratch, links)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import logging
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,17 +18,27 @@ from pyspark.sql import DataFrame, SparkSession
 #: Spark removes a finished execution's shuffle files when this is set.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
+_watching: list[list[str]] = []
+_log = logging.getLogger(__name__)
+
+
+def _base(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the context's checkpoint folder; a temporary folder only where executors share this machine."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if found:
+        return found
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        return "file://" + tempfile.mkdtemp(prefix="logtide-")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder of this application: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The shared folder of this application."""
     app = spark.sparkContext.applicationId
     if app not in _own:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="logtide-")
-        _own[app] = f"{base.rstrip('/')}/logtide-{app}"
-        atexit.register(_remove_quietly, spark, _own[app])
+        _own[app] = f"{_base(spark).rstrip('/')}/logtide-{app}"
+        atexit.register(_remove_at_exit, spark, _own[app])
     return _own[app]
 
 
@@ -42,9 +53,22 @@ def remove(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the application may have ended already
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    try:
         remove(spark, path)
+    except Exception as failure:  # the application may have ended already
+        _log.warning("scratch folder %s was not removed: %s", path, type(failure).__name__)
+
+
+@contextlib.contextmanager
+def watched() -> Iterator[list[str]]:
+    """Within this, the paths of all tables that are kept come into a list, so that a caller can remove them later."""
+    made: list[str] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.pop()
 
 
 @contextlib.contextmanager
@@ -76,6 +100,8 @@ class Scratch:
             df.write.option("compression", "zstd").parquet(path)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(table)] = table, path
+        for made in _watching:
+            made.append(path)
         return table
 
     def drop(self, *tables: DataFrame) -> None:
@@ -83,3 +109,7 @@ class Scratch:
             kept = self._paths.pop(id(table), None)
             if kept:
                 remove(self.spark, kept[1])
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        stays = {id(table) for table in tables}
+        self.drop(*(table for table, _ in list(self._paths.values()) if id(table) not in stays))

@@ -521,6 +521,37 @@ def test_cut_points(spark):
     assert quantiles(ids.where("false"), "doc_id", 5) == [] and quantiles(ids.where("false"), "doc_id", 1500) == []
 
 
+# Scratch tables
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    def session(master, checkpoint=None, **conf):
+        context = SimpleNamespace(master=master, getConf=lambda: conf, getCheckpointDir=lambda: checkpoint)
+        return SimpleNamespace(sparkContext=context, conf={})
+
+    assert scratch._base(session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs:///a"})) == "hdfs:///a"
+    assert scratch._base(session("spark://host:7077", "hdfs:///b")) == "hdfs:///b"
+    assert scratch._base(session("local[4]")).startswith("file://")
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch._base(session(master))
+
+
+def test_scratch_tables_are_watched_and_dropped(spark):
+    own = scratch.Scratch(spark, "test")
+    with scratch.watched() as outer:
+        a = own.keep(spark.range(3), "a")
+        with scratch.watched() as inner:
+            b = own.keep(spark.range(4), "b")
+    assert len(outer) == 2 and inner == outer[1:]
+    own.drop_all_but(b)
+    assert b.count() == 4
+    with pytest.raises(Exception, match="."):
+        a.count()
+
+
 # Words
 
 
