@@ -130,6 +130,47 @@ def test_exact_dedup_groups_come_from_the_snapshots(spark, monkeypatch):
     assert {tuple(r) for r in exact_dedup.exact_groups(docs).collect()} != brute.exact_groups(pairs(docs))
 
 
+@pytest.mark.parametrize("broadcast_rows", [0, 1_000_000])
+def test_exact_dedup_joins_both_ways(spark, broadcast_rows):
+    docs = cases.documents(spark)
+    assert {tuple(r) for r in exact_dedup.exact_groups(docs, broadcast_rows=broadcast_rows).collect()} == brute.exact_groups(pairs(docs))
+
+
+def test_exact_dedup_ranges_hold_for_both_sides(spark, monkeypatch):
+    """A first batch of copies, of one digest, screens a second of many: no range holds far more than a filter's digests."""
+    monkeypatch.setattr(exact_dedup, "FILTER_KEYS", 64)
+    sizes = []
+    held = exact_dedup.Snapshot.held
+
+    def watched(self, incoming):
+        sizes.extend(r["count"] for r in self.ranged(incoming).groupBy("range").count().collect())
+        return held(self, incoming)
+
+    monkeypatch.setattr(exact_dedup.Snapshot, "held", watched)
+    docs = spark.createDataFrame([(i, "the same text" if i < 2000 else f"text {i}") for i in range(4000)], "doc_id long, text string")
+    rows = exact_dedup.exact_groups(docs).collect()
+    assert max(sizes) < 3 * 64 and sum(sizes) >= 1990
+    assert sum(r.kept for r in rows) == 2001 and {r.group_size for r in rows if r.doc_id < 2000} == {2000}
+
+
+def test_exact_dedup_of_one_digest_over_different_texts(spark, monkeypatch):
+    """With digests that all texts share, the byte check tells the texts apart."""
+    same = hashlib.sha256(b"one").digest()
+
+    def digests(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([same] * batch.num_rows, pa.binary())], ["doc_id", "digest"])
+
+    monkeypatch.setattr(exact_dedup, "_digests", digests)
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda column, bits: F.lit(same.hex()))
+    rows = [(1, "a"), (2, "b"), (3, "A"), (3, "a"), (4, "b"), (None, "c"), (None, "c"), (5, None)]
+    found = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in found) == [(0, 0, 2), (0, 0, 2), (1, 3, 3), (2, 4, 2), (3, 3, 3), (3, 3, 3), (4, 4, 2), (5, 5, 1)]
+    assert sum(r.kept for r in found) == 4
+
+
 def test_fuse_filter():
     rng = np.random.default_rng(2)
     for n in (0, 1, 3, 50, 30_000):
