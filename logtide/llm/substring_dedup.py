@@ -1,21 +1,25 @@
 """Passages repeated anywhere, by level-wise doubling of word windows.
 
-A window of ``min_words`` words is repeated when its words also start anywhere else. The first
-level looks at windows of half that length. Of these it needs only the sampled ones: of the half windows that one full window
-covers, that with the smallest hash. All places of a repeated window sample the same one, so
-a full window whose smallest half occurs once can't be repeated. The windows that survive are extended to twice the
-length, and those whose full hash occurs once are struck out. What is left is repeated.
+A window of ``min_words`` words is repeated when its words also start anywhere else. Levels look at windows of
+rising length, each at most twice as long as the last, up to ``min_words``: 18 and 35 words by default. A level
+needs only the sampled windows: of those that one full window covers, that with the smallest hash. All places of a
+repeated window sample the same one, so a full window whose sample occurs once can't be repeated. Full windows that survive a level
+go on to the next, and the loop ends when none survives or when the level is the full window itself. What is left is repeated.
+
+With ``longest`` the levels go on, doubling ``min_words``, until no candidate survives; a window of a further level is a candidate where the
+full windows at its start and end were repeated one level before. The result then tells, for each document, the longest level at which a window of it is repeated.
 
 A level is one aggregation by hash. Its result is the windows that occur once, which carry
 their own place, so nothing is joined back by hash and a passage that all documents share
-costs one row a task. Places are grouped by document, whose own length bounds them.
+costs one row a task. Places are grouped by row, whose own length bounds them.
 
-Windows have 64-bit hashes; a window is removed by mistake only if both levels collide.
+Windows have 64-bit hashes; a window is removed by mistake only if all levels collide. Rows are told apart by a 64-bit
+hash of id and text; a second hash finds two rows under one number, and another pair of hashes is taken then.
 
 Nulls and odd rows: a null or empty text has no words; texts shorter than a window lose
 nothing; repeated rows are repeats of each other and both lose their windows; a null doc_id
-is kept; rows are told apart by a hash of id and text; an empty table gives an empty
-result; other columns of the input are not read.
+is kept; a window that overlaps its own repeat is a repeat; texts of any length are read whole and memory follows the longest;
+an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -35,27 +39,51 @@ _U = np.uint64
 _PLACES = "key long, place int, hash long"
 
 
-def sampled(words: W.Words, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the half windows, and which starts are sampled."""
-    half = -(-min_words // 2)
-    width = min_words - half + 1
-    hashes = W.windows(words.hashes, half)
+def levels(min_words: int, shortest: int = 18) -> list[int]:
+    """Rising window lengths that end with ``min_words``, each at most twice the one before."""
+    found = [min_words]
+    while found[0] > shortest:
+        found.insert(0, -(-found[0] // 2))
+    return found
+
+
+def candidates(words: W.Words, min_words: int, struck: dict[int, np.ndarray]) -> np.ndarray:
+    """Starts of full windows that no level has struck out; ``struck`` holds by length the starts (indexes over all words) of windows that occur once."""
+    alive = W.fits(words, min_words)
+    for length, at in struck.items():
+        if length > min_words:
+            continue
+        hashes = W.windows(words.hashes, length)
+        width = min_words - length + 1
+        left = hashes.copy()
+        left[at] = np.iinfo(_U).max
+        alive = alive & (W.sliding(left, width, np.minimum) == W.sliding(hashes, width, np.minimum))
+    return alive
+
+
+def sampled(words: W.Words, min_words: int, length: int, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``length`` words, and which starts a full window that is ``alive`` samples."""
+    hashes = W.windows(words.hashes, length)
+    width = min_words - length + 1
     lowest = W.sliding(hashes, width, np.minimum)
     if not len(lowest):
         return hashes, np.zeros(len(hashes), bool)
-    lowest = np.where(W.fits(words, min_words), lowest, _U(0))
+    lowest = np.where(alive, lowest, _U(0))
     pad = np.zeros(width - 1, _U)
     return hashes, W.sliding(np.concatenate([pad, lowest, pad]), width, np.maximum) == hashes
 
 
-def candidates(words: W.Words, min_words: int, struck: np.ndarray) -> np.ndarray:
-    """Full windows whose own sampled half, the smallest they cover, isn't among the ``struck`` starts (indexes over all words)."""
-    half = -(-min_words // 2)
-    width = min_words - half + 1
-    hashes = W.windows(words.hashes, half)
-    alive = hashes.copy()
-    alive[struck] = np.iinfo(_U).max
-    return W.fits(words, min_words) & (W.sliding(alive, width, np.minimum) == W.sliding(hashes, width, np.minimum))
+def extended(words: W.Words, min_words: int, length: int, struck: dict[int, np.ndarray]) -> np.ndarray:
+    """Starts of windows of ``length`` words, longer than ``min_words``, whose two ends were repeated at every level before."""
+    alive, before = candidates(words, min_words, struck), min_words
+    while before < length:
+        after = 2 * before
+        gap = after - before
+        alive = (alive[: len(alive) - gap] & alive[gap:] if len(alive) > gap else alive[:0]) & W.fits(words, after)
+        if after in struck:
+            alive[struck[after]] = False
+        before = after
+    return alive
 
 
 def _local(words: W.Words, at: np.ndarray) -> np.ndarray:
@@ -64,54 +92,66 @@ def _local(words: W.Words, at: np.ndarray) -> np.ndarray:
     return at - words.first[text], text
 
 
-def _indexes(lists: pa.Array, words: W.Words) -> np.ndarray:
-    """Lists of places within texts as indexes over all words."""
-    lists = lists.cast(pa.large_list(pa.int32()))
-    count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.first[:-1], count)
-
-
 def _rows(keys: pa.Array, words: W.Words, at: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
     place, text = _local(words, at)
     return pa.RecordBatch.from_arrays([keys.take(pa.array(text)), pa.array(place, pa.int32()), W.signed(hashes[at])], ["key", "place", "hash"])
 
 
-def _half_windows(min_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, offsets, raw in W.chunks(batch.column(1)):
-                words = W.split(offsets, raw)
-                hashes, chosen = sampled(words, min_words)
-                yield _rows(batch.column(0).slice(lo, hi - lo), words, np.flatnonzero(chosen), hashes)
+def _struck(places: pa.Array, lo: int, hi: int, words: W.Words) -> dict[int, np.ndarray]:
+    """A column of lists of (length, places) as starts over all words by length."""
+    lists = places.slice(lo, hi - lo)
+    rows = np.repeat(np.arange(hi - lo), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    entries = lists.flatten()
+    lengths = entries.field("length").to_numpy(zero_copy_only=False)
+    starts = entries.field("places")
+    found = {}
+    for length in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == length)
+        chosen = starts.take(pa.array(own)).cast(pa.large_list(pa.int32()))
+        count = chosen.value_lengths().to_numpy(zero_copy_only=False)
+        found[length] = chosen.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(words.first[rows[own]], count)
+    return found
 
-    return run
 
+def _level_windows(min_words: int, length: int):
+    """(key, text, struck) to the windows that the level looks at."""
 
-def _full_windows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, offsets, raw in W.chunks(batch.column(1)):
                 words = W.split(offsets, raw)
-                open_ = candidates(words, min_words, _indexes(batch.column(2).slice(lo, hi - lo), words))
-                yield _rows(batch.column(0).slice(lo, hi - lo), words, np.flatnonzero(open_), W.windows(words.hashes, min_words))
+                struck = _struck(batch.column(2), lo, hi, words) if batch.num_columns > 2 else {}
+                if length <= min_words:
+                    hashes, chosen = sampled(words, min_words, length, candidates(words, min_words, struck))
+                else:
+                    hashes, chosen = W.windows(words.hashes, length), extended(words, min_words, length, struck)
+                yield _rows(batch.column(0).slice(lo, hi - lo), words, np.flatnonzero(chosen), hashes)
 
     return run
 
 
-def once(places: DataFrame) -> DataFrame:
-    """(key, places) of windows whose hash occurs once."""
-    alone = places.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("place").alias("place")).where("n = 1")
-    return alone.groupBy("key").agg(F.collect_list("place").alias("places"))
+def _once(scratch: Scratch, places: DataFrame, length: int) -> tuple[DataFrame, bool]:
+    """(key, length, places) of windows whose hash occurs once, and whether any occurs more often; those meet under a null key."""
+    grouped = places.groupBy("hash").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("place").alias("place"))
+    alone = grouped.select(*(F.when(F.col("n") == 1, F.col(c)).alias(c) for c in ("key", "place")))
+    found = scratch.keep(alone.groupBy("key").agg(F.lit(length).alias("length"), F.collect_list("place").alias("places")), f"once{length}")
+    return found.where("key is not null"), not found.where("key is null").isEmpty()
 
 
-def _kept(min_words: int, digest: bool):
+def _kept(min_words: int, levels_done: list[int], digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, offsets, raw in W.chunks(batch.column(1)):
                 words = W.split(offsets, raw)
-                halves, fulls = (_indexes(batch.column(i).slice(lo, hi - lo), words) for i in (2, 3))
-                gone = candidates(words, min_words, halves)
-                gone[fulls] = False
+                struck = _struck(batch.column(2), lo, hi, words)
+                if min_words in levels_done:
+                    gone = candidates(words, min_words, struck)
+                else:  # no window survived a shorter level
+                    gone = np.zeros(len(W.fits(words, min_words)), bool)
+                longest = np.zeros(hi - lo, np.int64)
+                for length in (x for x in levels_done if x >= min_words):
+                    at = np.flatnonzero(gone if length == min_words else extended(words, min_words, length, struck))
+                    longest[np.searchsorted(words.first, at, "right") - 1] = length
                 cover = np.zeros(len(words.hashes) + 1, np.int64)
                 at = np.flatnonzero(gone)
                 np.add.at(cover, at, 1)
@@ -128,24 +168,47 @@ def _kept(min_words: int, digest: bool):
                     out.append(hashlib.sha256(body).hexdigest() if digest else body)
                 text = pa.array(out, pa.string()) if digest else pa.array(out, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), text],
-                    ["doc_id", "n_words", "n_removed", "kept"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(words.counts, pa.int64()), pa.array(removed, pa.int64()), text, pa.array(longest)],
+                    ["doc_id", "n_words", "n_removed", "kept", "longest"],
                 )
 
     return run
 
 
-def without_repeats(docs: DataFrame, *, min_words: int = 35, digest: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words that stay with single spaces, or the SHA-256 of that in hex)."""
+def _identified(rows: DataFrame) -> DataFrame:
+    """With ``key``, a number that tells rows of different id or text apart, which is checked by a second hash."""
+    for seed in range(20):
+        hashes = [F.xxhash64(F.lit(2 * seed + i), "doc_id", "text") for i in (0, 1)]
+        both = rows.select(hashes[0].alias("key"), hashes[1].alias("other")).groupBy("key").agg((F.min("other") != F.max("other")).alias("clash"))
+        if both.where("clash").isEmpty():
+            return rows.withColumn("key", hashes[0])
+    raise RuntimeError("two rows under one number with every seed")
+
+
+def without_repeats(docs: DataFrame, *, min_words: int = 35, shortest: int = 18, digest: bool = False, longest: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept (the words that stay with single spaces, or the SHA-256 of that in hex).
+
+    With ``longest`` also the longest level, ``min_words`` times a power of two, at which a window of the document is repeated; 0 if none is.
+    """
     scratch = Scratch(docs.sparkSession, "repeats")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    halves = scratch.keep(once(keyed.select("key", "text").mapInArrow(_half_windows(min_words), _PLACES)), "halves")
-    open_ = keyed.select("key", "text").join(halves, "key", "left").select("key", "text", "places")
-    full = open_.mapInArrow(_full_windows(min_words), _PLACES)
-    fulls = scratch.keep(once(full), "fulls").withColumnRenamed("places", "full_places")
-    both = keyed.join(halves, "key", "left").join(fulls, "key", "left").select("doc_id", "text", "places", "full_places")
-    return both.mapInArrow(_kept(min_words, digest), "doc_id long, n_words long, n_removed long, kept string")
+    keyed = _identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    todo, done, struck = levels(min_words, shortest), [], None
+    while todo:
+        length = todo.pop(0)
+        rows = keyed.select("key", "text")
+        if struck is not None:
+            rows = rows.join(struck, "key", "left").select("key", "text", "struck")
+        alone, survive = _once(scratch, rows.mapInArrow(_level_windows(min_words, length), _PLACES), length)
+        done.append(length)
+        found = alone if len(done) == 1 else found.unionByName(alone)
+        struck = found.groupBy("key").agg(F.collect_list(F.struct("length", "places")).alias("struck"))
+        if not survive:
+            break
+        if longest and not todo:
+            todo.append(2 * length)
+    both = keyed.join(struck, "key", "left").select("doc_id", "text", "struck")
+    kept = both.mapInArrow(_kept(min_words, done, digest), "doc_id long, n_words long, n_removed long, kept string, longest long")
+    return kept if longest else kept.drop("longest")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

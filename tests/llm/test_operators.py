@@ -525,6 +525,30 @@ def test_substring_dedup(spark, length):
     assert substring_dedup.without_repeats(cases.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("shortest", [2, 5, 100])
+def test_substring_dedup_levels(spark, shortest):
+    docs = cases.documents(spark)
+    assert substring_dedup.levels(35, 4) == [3, 5, 9, 18, 35] and substring_dedup.levels(1) == [1]
+    found = substring_dedup.without_repeats(docs, min_words=20, shortest=shortest).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, brute.without_repeats(pairs(docs), 20)))
+
+
+def test_substring_dedup_doubles_until_none_survive(spark):
+    rng = np.random.default_rng(14)
+    words = lambda n: " ".join(map(str, rng.integers(0, 10**9, n)))
+    parts = {n: words(n) for n in (6, 13, 40, 95)}
+    rows = [(i, f"{words(8)} {parts[n]} {words(5)}") for i, n in enumerate([6, 6, 13, 40, 95, 40, 95, 13])]
+    rows += [(20, words(50)), (21, "x " * 30), (22, None)]
+    found = substring_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"), min_words=6, shortest=3, longest=True).collect()
+    for r in found:
+        level, expected = 6, 0
+        while any(i == r.doc_id and removed for i, _, removed, _ in brute.without_repeats(rows, level)):
+            level, expected = 2 * level, level
+        assert r.longest == expected, (r.doc_id, r.longest, expected)
+    none = substring_dedup.without_repeats(spark.createDataFrame([(1, words(60)), (2, words(60))], "doc_id long, text string"), longest=True).collect()
+    assert all(r.n_removed == r.longest == 0 and r.n_words == 60 for r in none)
+
+
 # 10: mixing
 
 
