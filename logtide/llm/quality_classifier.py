@@ -1,17 +1,17 @@
 """Document quality by regularised quadratic discriminant analysis.
 
 Statistics of a whole text are transformed towards normal shape. Each class has a mean and a
-covariance, shrunk towards the pooled covariance and then towards a multiple of the identity.
+covariance, shrunk towards the pooled covariance and then towards the diagonal of that.
 The score is the logistic of the difference of the two log densities plus that of the log
-priors; a density's Mahalanobis distance comes from one triangular solve with the Cholesky
-factor kept in the model.
+priors; a density's Mahalanobis distance comes from a forward substitution with the Cholesky
+factor of the class's covariance, which the model keeps.
 
 Moments are exact decimal sums over all labelled training rows, so a model does not depend on
 the order of rows. Only a class's moments reach the driver.
 
 Nulls and odd rows: a null or empty text has zero statistics and gets a score like any other;
-a null doc_id is never held out; repeated rows score alike; an empty table gives an
-empty result; with fewer than two training rows of a class every score is the share of class
+a null doc_id is never held out and matches no label; repeated rows score alike; a score of exactly the threshold is accepted; texts of any
+length are read whole, and memory follows the longest; an empty table gives an empty result; a label that is neither 0 nor 1 is not used; with fewer than two training rows of a class every score is the share of class
 1, or 0.5 without labels. Labels, lang, source and doc_id are no inputs of a score.
 """
 
@@ -33,7 +33,7 @@ FEATURES = (
     "log_words", "word_bytes", "word_bytes_spread", "upper", "digits", "symbols", "exclaims", "stops",
     "other_bytes", "distinct_words", "repeated_runs", "repeated_lines", "newlines",
 )
-#: Weight of the pooled covariance, and then of the identity.
+#: Weight of the pooled covariance, and then of its diagonal.
 POOLED, DIAGONAL = 0.1, 0.05
 THRESHOLD = 0.7
 
@@ -120,9 +120,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def forward(factor: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """z with factor @ z = y, for a lower triangular factor and any number of columns."""
+    z = np.empty_like(y, dtype=float)
+    for i in range(len(factor)):
+        z[i] = (y[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Model:
-    """Class means, Cholesky factors of the precision form, and the log-density constants."""
+    """Class means, Cholesky factors of the class covariances, and the log-density constants."""
 
     means: np.ndarray
     factors: np.ndarray
@@ -134,7 +142,7 @@ class Model:
             return np.full(len(x), self.share)
         logs = []
         for mean, factor, constant in zip(self.means, self.factors, self.constants, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward(factor, (x - mean).T)
             logs.append(constant - 0.5 * np.sum(z * z, axis=0))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
 

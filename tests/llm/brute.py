@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -84,6 +85,24 @@ def without_repeats(rows, length=35):
     return out
 
 
+def statistics(text):
+    """The classifier's 13 statistics of a text, one after another."""
+    raw, ws = text.encode(), [w.encode() for w in WORD.findall(low(text))]
+    n, size = len(ws), max(len(raw), 1)
+    count = lambda chars: sum(b in chars for b in raw)
+    mean = sum(map(len, ws)) / max(n, 1)
+    spread = math.sqrt(max(sum(len(w) ** 2 for w in ws) / max(n, 1) - mean * mean, 0))
+    upper, lower = bytes(range(65, 91)), bytes(range(97, 123))
+    lines = [x for x in raw.split(b"\n") if x.strip()]
+    runs = [tuple(ws[i : i + 4]) for i in range(n - 3)]
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), math.sqrt(count(upper) / max(count(upper + lower), 1)), math.sqrt(count(b"0123456789") / size),
+        math.sqrt(count(b"#*$%&|<>@^~_=+{}[]\\") / max(n, 1)), math.sqrt(count(b"!?") / max(n, 1)), math.sqrt(count(b".,;:") / max(n, 1)),
+        math.sqrt(count(bytes(range(128, 256))) / size), math.log1p(len(set(ws))) / math.log1p(n) if n else 0.0,
+        math.sqrt(1 - len(set(runs)) / len(runs)) if runs else 0.0, math.sqrt(1 - len(set(lines)) / len(lines)) if lines else 0.0, math.sqrt(count(b"\n") / max(n, 1)),
+    ]
+
+
 def base_counts(text):
     text = text or ""
     words = WORD.findall(text)

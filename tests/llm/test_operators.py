@@ -355,6 +355,31 @@ def test_log_densities():
     assert np.allclose(model.scores(x), density[1] / (density[0] + density[1]))
 
 
+def test_statistics_against_a_plain_version():
+    import pyarrow as pa
+
+    texts = [t or "" for t in cases.texts()] + ["One two\nOne two\n\nthree, FOUR! a_b #x | 12", "$$$ a b a b a b a b"]
+    for lo, hi, offsets, raw in words.chunks(pa.array(texts), limit=3000):
+        for text, row in zip(texts[lo:hi], quality_classifier.statistics(offsets, raw), strict=True):
+            assert np.allclose(row, brute.statistics(text), atol=1e-9), text[:50]
+
+
+def test_fit_against_a_plain_version(spark):
+    rng, d = np.random.default_rng(15), len(quality_classifier.FEATURES)
+    x, y = np.round(rng.normal(size=(300, d)) @ rng.normal(size=(d, d)), 6), rng.integers(0, 2, 300)
+    x[y == 1] += 0.5
+    model = quality_classifier.fit(spark.createDataFrame([(r.tolist(), int(c)) for r, c in zip(x, y, strict=True)], "x array<double>, y int"))
+    own = [np.cov(x[y == c], rowvar=False, bias=True) for c in (0, 1)]
+    share = np.array([(y == 0).mean(), (y == 1).mean()])
+    pooled = share[0] * own[0] + share[1] * own[1]
+    for c in (0, 1):
+        shrunk = 0.95 * (0.9 * own[c] + 0.1 * pooled) + 0.05 * np.diag(np.diag(pooled))
+        assert np.allclose(model.means[c], x[y == c].mean(0)) and np.allclose(model.factors[c] @ model.factors[c].T, shrunk, atol=1e-6)
+        assert np.allclose(model.factors[c], np.tril(model.factors[c]))
+        assert model.constants[c] == pytest.approx(np.log(share[c]) - 0.5 * np.linalg.slogdet(shrunk)[1], abs=1e-5)
+        assert np.allclose(quality_classifier.forward(model.factors[c], x.T), np.linalg.solve(model.factors[c], x.T))
+
+
 # 7: quality rules
 
 
