@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logtide.llm import bpe, line_dedup, mixing, ngram_jaccard, quality_classifier
-from logtide.llm.scratch import Scratch
+from logtide.llm.scratch import Scratch, remove, watched
 
 #: SQL can't express the classifier, so tests compare the pipeline with brute force.
 ORACLE_SQL = None
@@ -72,11 +72,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. A stage's own tables are removed as soon as its result is stored."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.keep(docs, f"stage{i}")
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        with watched() as made:
+            kept = stage(spark, docs, sf_dir)
+        before, docs = docs, scratch.keep(kept, f"stage{i}")
+        remove(spark, *made)
+        scratch.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
