@@ -11,8 +11,8 @@ blocks (source, size class, slice of ids) and a row number within the block: no
 a whole source.
 
 Nulls and odd rows: a null text has size 0; a null source is a source of its own, after all
-others; a null doc_id is kept as it is; repeated rows take separate places; an empty table
-gives an empty result; a source without words has target 0 and takes nothing. Columns of the
+others; a null doc_id is kept as it is; repeated rows take separate places; documents of one size stand in order of
+doc_id and then of a hash of the row; texts of any length are counted whole; an empty table gives an empty result; a source without words has target 0 and takes nothing. Columns of the
 input never clash with the working columns, since the input row travels in one struct.
 """
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from logtide.llm.scratch import Scratch
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one (source, size class, slice) block, about.
 BLOCK_ROWS = 1_000_000
@@ -68,7 +70,12 @@ def systematic(
     carry: list[str] | None = None,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """One row per input row: row (its ``carry`` columns as a struct, by default all), size, source_size, target, copies."""
+    """One row per input row: row (its ``carry`` columns as a struct, by default all), size, source_size, target, copies.
+
+    Words are counted once where ``carry`` names a few columns, whose rows are then stored; else once for the
+    blocks and once with the rows, so that no text is written to a table on its way.
+    """
+    scratch = Scratch(docs.sparkSession, "mix")
     slices = 4 + docs.count() // block_rows
     source = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
     lined = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry or docs.columns)).alias("row"), "doc_id", source.alias("src"), word_count(F.col("text")).alias("size")).select(
@@ -77,7 +84,9 @@ def systematic(
         (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % slices).alias("slice"),
     )
     block = ["src", "class", "slice"]
-    blocks = lined.groupBy(*block).agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    if carry:
+        lined = scratch.keep(lined, "sized")
+    blocks = scratch.keep(lined.groupBy(*block).agg(F.count("*").alias("n"), F.sum("size").alias("words")), "blocks")
     before = Window.partitionBy("src").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(*block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     aims = targets(blocks.groupBy("src").agg(F.sum("words").alias("words")), weights, share, ceiling)
