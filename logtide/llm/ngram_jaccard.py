@@ -132,13 +132,13 @@ def bits_needed(documents: int, num: int, den: int) -> np.ndarray:
     """Set bits that a key needs, by band and by how many halves it has taken in.
 
     A key's information, from how likely words of unrelated sets have its content, is to reach about the logarithm
-    of the number of documents, so few of them meet by chance however many there are.
+    of the number of documents on a band, so few of them meet by chance however many there are.
     """
     limits = np.array(band_limits(num, den))
     per_word = limits[:-1] / np.array(band_parts(num, den, limits.tolist()))  # elements a word, the same for both documents of a pair
     of_set, of_clear = np.log2(_BITS / per_word), per_word / _BITS * np.log2(np.e)
     width = _BITS + _BITS // 2 * np.arange(_MOST_HALVES + 1)
-    wanted = max(math.log2(max(documents, 2)) - 1, 6)
+    wanted = max(math.log2(max(documents, 2)) - 2, 6)
     return np.ceil((wanted - np.outer(of_clear, width)) / (of_set - of_clear)[:, None]).astype(np.int64)
 
 
@@ -234,6 +234,7 @@ def _keyed(needed: np.ndarray, nth: int, with_next: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        pa.default_memory_pool().release_unused()  # of this worker's earlier tasks
         for batch in batches:
             cls = batch.column(0).to_numpy()
             new = np.zeros(len(cls), bool)
@@ -375,7 +376,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
     members = scratch.keep(table.select("doc_id", "n_shingles", "cls", *keys), "members")
     verifier = _Verifier(scratch, rows, table, classes, (shingle, num, den, seed))
-    stored = _shared_keys(scratch, table, bits_needed(table.count(), num, den))
+    on_band = table.where("n_shingles > 0").groupBy("band").count().agg(F.max("count")).first()[0] or 0
+    stored = _shared_keys(scratch, table, bits_needed(on_band, num, den))
     shared = stored[0]
     for more in stored[1:]:
         shared = shared.unionByName(more)
