@@ -49,3 +49,32 @@ def big_endian_long(data: Column, index: Column | int) -> Column:
 def align8(offset: Column) -> Column:
     """The next multiple of eight at or after ``offset``."""
     return (F.ceil(offset / 8) * 8).cast("long")
+
+
+def little_endian_long(data: Column, index: Column | int) -> Column:
+    """The index-th signed 64-bit little-endian number of a binary column."""
+    at = (index if isinstance(index, Column) else F.lit(index)) * 8
+    turned = F.concat(*[F.substring(data, at + i, F.lit(1)) for i in range(8, 0, -1)])
+    return F.conv(F.hex(turned), 16, -10).cast("long")
+
+
+def tombstone_offset(offset: Column, deleted: Column) -> Column:
+    """An index entry: the offset, negative for a tombstone."""
+    return F.when(deleted, -offset).otherwise(offset)
+
+
+def guard(number: Column) -> Column:
+    """The bitwise complement, which a guard keeps of its partner."""
+    return F.bitwise_not(number)
+
+
+def random_bytes(smallest: int, largest: int, seed: int) -> Column:
+    """Binary test data of ``smallest`` to ``largest`` bytes, the same for a seed and a spread of rows."""
+    hexed = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(-(-largest // 16))), lambda i: F.md5(F.concat(F.rand(seed).cast("string"), i.cast("string")))), "")
+    length = (F.rand(seed + 1) * (largest - smallest + 1)).cast("int") + smallest
+    return F.substring(F.unhex(hexed), F.lit(1), length)
+
+
+def now_nanos() -> Column:
+    """The time of the query in nanoseconds, in steps of a microsecond."""
+    return F.unix_micros(F.current_timestamp()) * 1000

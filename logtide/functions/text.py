@@ -28,6 +28,14 @@ def is_printable(text: Column) -> Column:
     return F.coalesce(printable_share(text) > 0.8, F.lit(False))
 
 
+_PRINTABLE = bytes([9, 10, 13, *range(32, 127)])
+
+
+def is_printable_bytes(data: bytes) -> bool:
+    """More than four fifths of the bytes printable; no bytes are not."""
+    return bool(data) and len(data) - len(data.translate(None, _PRINTABLE)) > 0.8 * len(data)
+
+
 def is_hex(text: Column) -> Column:
     """Pairs of hexadecimal digits only; the empty text qualifies."""
     return text.rlike("^([0-9a-fA-F]{2})*$")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logtide.functions.hashing import record_crc
+from logtide.functions.hashing import align8, guard, record_crc
+from logtide.operators.blocks import next_value, running_sum
 
 
 def with_crc(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -25,9 +26,14 @@ def valid_prefix(rows: DataFrame, bad: str = "bad") -> DataFrame:
 
 
 def offset_lengths(index: DataFrame, group: str) -> DataFrame:
-    """Length of each record of an index of (group, entry, off): the next offset less this one, signs aside."""
-    following = F.lead(F.abs("off")).over(Window.partitionBy(group).orderBy("entry"))
-    return index.withColumn("length", following - F.abs("off")).withColumn("tombstone", F.col("off") < 0)
+    """Length of each record of an index of (group, entry, off): the next offset less this one, signs aside. A group of any size is ordered block by block."""
+    sized = next_value(index.withColumn("_end", F.abs("off")), "_end", "entry", "_next", [group])
+    return sized.withColumn("length", F.col("_next") - F.col("_end")).withColumn("tombstone", F.col("off") < 0).drop("_end", "_next")
+
+
+def with_offsets(rows: DataFrame, group: str, order: str, size: str, deleted: Column) -> DataFrame:
+    """``off``: where each record starts in its group's data file, negative for a tombstone."""
+    return running_sum(rows, size, order, "_start", [group]).withColumn("off", F.when(deleted, -F.col("_start")).otherwise(F.col("_start")).cast("long")).drop("_start")
 
 
 def reconcile(files: DataFrame, slack: int = 8) -> DataFrame:
@@ -52,3 +58,20 @@ def order_violations(rows: DataFrame, key: str, group: str) -> DataFrame:
     """Rows of a run that aren't after the row before them."""
     before = F.lag(key).over(Window.partitionBy(group).orderBy("entry"))
     return rows.withColumn("_before", before).where(F.col("_before") >= F.col(key)).drop("_before")
+
+
+def pool_statistics(rows: DataFrame, capacity: int) -> DataFrame:
+    """One row on a pool of (bytes) records, each at the next multiple of eight: records, bytes used and free, and the share used in percent."""
+    used = F.coalesce(F.sum(align8(F.col("bytes"))), F.lit(0)).cast("long")
+    total = rows.agg(F.count("*").alias("n_records"), used.alias("used"))
+    return total.select("n_records", "used", (F.lit(capacity) - F.col("used")).cast("long").alias("free"), (F.col("used") * 100.0 / capacity).alias("used_percent"))
+
+
+def guard_violations(rows: DataFrame, front: str, rear: str) -> DataFrame:
+    """Rows whose rear guard isn't the complement of the front one; a missing guard is a violation."""
+    return rows.where(~F.col(front).eqNullSafe(guard(F.col(rear))))
+
+
+def beyond(rows: DataFrame, off: str, length: str, capacity: Column) -> DataFrame:
+    """Records that start before their file or end behind it."""
+    return rows.where((F.col(off) < 0) | (F.col(length) < 0) | (F.col(off) + F.col(length) > capacity))

@@ -49,23 +49,35 @@ def history(log: DataFrame) -> DataFrame:
 # Access
 
 
-def get(log: DataFrame, keys: DataFrame) -> DataFrame:
+#: Keys that one look-up broadcasts; more of them meet the log in a shuffle on the key, which the resolution then uses too.
+BROADCAST_KEYS = 1_000_000
+
+
+def asked(log: DataFrame, keys: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """The log of the keys asked for: other keys' rows go before versions are compared."""
+    wanted = keys.select("k").distinct()
+    few = wanted.limit(broadcast_keys + 1).count() <= broadcast_keys
+    return log.join(F.broadcast(wanted) if few else wanted.hint("merge"), "k", "left_semi")
+
+
+def get(log: DataFrame, keys: DataFrame, *, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """A row for each key asked for: its live value, or null and found = false."""
-    current = live(log).select("k", "v", F.lit(True).alias("found"))
+    current = live(asked(log, keys, broadcast_keys)).select("k", "v", F.lit(True).alias("found"))
     return keys.select("k").distinct().join(current, "k", "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def exists(log: DataFrame, keys: DataFrame) -> DataFrame:
+def exists(log: DataFrame, keys: DataFrame, *, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Keys with a presence flag; values are never read."""
-    return get(log.select("k", "seq", F.lit(None).cast("string").alias("v"), "deleted"), keys).select("k", F.col("found").alias("present"))
+    unvalued = log.select("k", "seq", F.lit(None).cast("string").alias("v"), "deleted")
+    return get(unvalued, keys, broadcast_keys=broadcast_keys).select("k", F.col("found").alias("present"))
 
 
-def present(log: DataFrame, keys: DataFrame) -> DataFrame:
-    return keys.join(live(log).select("k"), "k", "left_semi")
+def present(log: DataFrame, keys: DataFrame, *, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    return keys.join(live(asked(log, keys, broadcast_keys)).select("k"), "k", "left_semi")
 
 
-def absent(log: DataFrame, keys: DataFrame) -> DataFrame:
-    return keys.join(live(log).select("k"), "k", "left_anti")
+def absent(log: DataFrame, keys: DataFrame, *, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    return keys.join(live(asked(log, keys, broadcast_keys)).select("k"), "k", "left_anti")
 
 
 def prefix_filter(column: str, prefix: str | bytes) -> Column:

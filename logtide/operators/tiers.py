@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from logtide.operators.blocks import running_sum
 from logtide.operators.log import LOG_COLUMNS, live
 
 #: Byte limits of the tiers, newest first.
@@ -49,17 +54,68 @@ def candidate_runs(metadata: DataFrame, probe: Column) -> DataFrame:
 
 
 def memtable_runs(log: DataFrame, limit: int) -> DataFrame:
-    """Rows with the run their flush would write them to: ``run_id`` grows each time the bytes so far pass a multiple of the limit.
+    """Rows with the run that a byte counter which never starts again would give them: ``run_id`` grows each time the bytes so far pass a multiple of the limit."""
+    summed = running_sum(log, "bytes", "seq", "_before")
+    return summed.withColumn("run_id", F.floor(F.col("_before") / limit).cast("long")).drop("_before")
+
+
+def flush_runs(log: DataFrame, limit: int, shards: int) -> DataFrame:
+    """Rows of (k, seq, bytes, deleted) with their shard and the run their memtable is flushed to.
 
-    Running sums are taken over blocks of a million versions first, so no task orders the whole log.
+    A shard has one memtable. Its counter adds the bytes of puts, a row that takes it to the limit ends the run, and the counter starts again
+    at 0. That is a fold along the shard's log: each shard is one sorted stream, of which a task holds a batch and the counter.
     """
-    width = F.floor(F.col("seq") / (1 << 20))
-    block = log.withColumn("_block", width)
-    before = block.groupBy("_block").agg(F.sum("bytes").alias("_sum"))
-    before = before.select("_block", F.coalesce(F.sum("_sum").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    inside = F.sum("bytes").over(Window.partitionBy("_block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
-    summed = block.withColumn("_in", F.coalesce(inside, F.lit(0))).join(before, "_block")
-    return summed.withColumn("run_id", F.floor((F.col("_ahead") + F.col("_in")) / limit).cast("long")).drop("_block", "_in", "_ahead")
+    from logtide.operators.shards import with_shard
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = held = number = None
+        for batch in batches:
+            own, size = batch.column("shard").to_numpy(), np.where(batch.column("deleted").to_numpy(zero_copy_only=False), 0, batch.column("bytes").to_numpy())
+            runs = np.zeros(len(own), np.int64)
+            for i, (s, n) in enumerate(zip(own.tolist(), size.tolist(), strict=True)):
+                if s != shard:
+                    shard, held, number = s, 0, 0
+                runs[i], held = number, held + n
+                if held >= limit:
+                    number, held = number + 1, 0
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("k", "seq", "shard")] + [pa.array(runs)], ["k", "seq", "shard", "run_id"])
+
+    rows = with_shard(log, shards).select("k", "seq", F.col("bytes").cast("long").alias("bytes"), "deleted", "shard")
+    kind = log.select("k").schema[0].dataType.simpleString()
+    return rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "seq").mapInArrow(run, f"k {kind}, seq long, shard int, run_id long")
+
+
+def run_checksums(rows: DataFrame, run: str, key: str, value: str) -> DataFrame:
+    """CRC-32 over the key and value bytes of each run in order of key. A run's records are gathered, so runs are as small as a memtable."""
+    record = F.hex(F.concat(F.col(key).cast("binary"), F.coalesce(F.col(value).cast("binary"), F.lit(b""))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(key).cast("binary").alias("k"), record.alias("r"))))
+    return rows.groupBy(run).agg(F.crc32(F.unhex(F.array_join(F.transform(ordered, lambda x: x["r"]), ""))).alias("crc"))
+
+
+def sound_runs(rows: DataFrame, listing: DataFrame, run: str, key: str, value: str) -> DataFrame:
+    """Rows of the runs whose bytes have the CRC-32 of ``listing`` (run, crc); damaged runs are left out whole."""
+    sound = run_checksums(rows, run, key, value).join(listing.select(run, "crc"), [run, "crc"], "left_semi")
+    return rows.join(sound.select(run), run, "left_semi")
+
+
+#: What a tier's store puts before keys of values and of tombstones.
+DATA_PREFIX, TOMBSTONE_PREFIX = "d:", "t:"
+
+
+def to_records(log: DataFrame) -> DataFrame:
+    """The newest rows of a log as records (k, seq, v) of a store without tombstones: a prefix tells values and tombstones apart."""
+    from logtide.operators.log import latest
+
+    prefix = F.when(F.col("deleted"), TOMBSTONE_PREFIX).otherwise(DATA_PREFIX)
+    value = F.when(~F.col("deleted"), F.col("v"))
+    return latest(log).select(F.concat(prefix, "k").alias("k"), "seq", value.alias("v"))
+
+
+def from_records(records: DataFrame) -> DataFrame:
+    """The log of such records; keys without a prefix aren't records of the store and are left out."""
+    kind = F.substring("k", 1, 2)
+    rows = records.where(kind.isin(DATA_PREFIX, TOMBSTONE_PREFIX))
+    return rows.select(F.expr("substring(k, 3)").alias("k"), "seq", "v", (kind == TOMBSTONE_PREFIX).alias("deleted"))
 
 
 def compact(log: DataFrame) -> DataFrame:
@@ -84,6 +140,7 @@ def compact_generation(spark: SparkSession, base: str, shards: int) -> int:
     current = spark.read.parquet(f"{base}/generations").agg(F.max("generation")).first()[0]
     log = spark.read.parquet(f"{base}/data-{current}").select(*LOG_COLUMNS)
     number = current + 1
-    with_shard(live(log), shards).repartition("shard").sortWithinPartitions("k").write.mode("overwrite").partitionBy("shard").parquet(f"{base}/data-{number}")
+    spread = with_shard(live(log), shards).repartitionByRange("shard", "k")  # a shard of any size takes as many tasks as its rows ask for
+    spread.sortWithinPartitions("shard", "k").write.mode("overwrite").partitionBy("shard").parquet(f"{base}/data-{number}")
     spark.range(1).select(F.lit(number).alias("generation"), F.lit(shards).alias("n")).write.mode("append").parquet(f"{base}/generations")
     return number

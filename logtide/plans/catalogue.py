@@ -6,7 +6,6 @@ and a tombstone where the event is an error or its value is below 20.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logtide.functions import hashing, text
 from logtide.operators import callbacks, integrity, log, shards, table, tiers
-from logtide.sources import formats
+from logtide.sources import backends, files, formats
 from logtide.streaming import latest as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,19 +58,12 @@ def middle(rows: DataFrame) -> int:
     return (rows.agg(F.max("seq")).first()[0] or 0) // 2
 
 
-def probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys to ask for: a purchase and a view of every hundredth customer, stored or not."""
-    customers = read(spark, sf_dir, "customer").where("c_custkey % 100 = 1")
-    return customers.select(F.explode(F.array(*[F.concat(F.lit(t), F.col("c_custkey").cast("string")) for t in ("purchase:", "view:")])).alias("k"))
-
-
 def all_probe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A purchase and a view of every customer, stored or not."""
     custkey = F.col("c_custkey").cast("string")
     return read(spark, sf_dir, "customer").select(F.explode(F.array(*[F.concat(F.lit(t), custkey) for t in ("purchase:", "view:")])).alias("k"))
 
 
-_PROBES_SQL = ", probes AS (SELECT 'purchase:' || c_custkey AS k FROM customer WHERE c_custkey % 100 = 1 UNION ALL SELECT 'view:' || c_custkey FROM customer WHERE c_custkey % 100 = 1)\n"
 _ALL_PROBES_SQL = ", probes AS (SELECT 'purchase:' || c_custkey AS k FROM customer UNION ALL SELECT 'view:' || c_custkey FROM customer)\n"
 
 # Point access
@@ -87,31 +79,11 @@ def kv_latest_with_tombstones(spark, sf_dir):
     return log.latest(event_log(spark, sf_dir))
 
 
-@query(_LOG_SQL + _PROBES_SQL + "SELECT p.k, l.v, l.k IS NOT NULL AS found FROM (SELECT DISTINCT k FROM probes) p LEFT JOIN live l ON p.k = l.k")
-def kv_multi_get(spark, sf_dir):
-    return log.get(event_log(spark, sf_dir), probe_keys(spark, sf_dir))
-
-
 @query(_LOG_SQL + "SELECT p.k, l.v, l.k IS NOT NULL AS found FROM (SELECT 'no:such:key' AS k) p LEFT JOIN live l ON p.k = l.k")
 def kv_get_missing(spark, sf_dir):
     return log.get(event_log(spark, sf_dir), spark.range(1).select(F.lit("no:such:key").alias("k")))
 
 
-@query(_LOG_SQL + _PROBES_SQL + "SELECT DISTINCT p.k, l.k IS NOT NULL AS present FROM probes p LEFT JOIN live l ON p.k = l.k")
-def kv_exists(spark, sf_dir):
-    return log.exists(event_log(spark, sf_dir), probe_keys(spark, sf_dir))
-
-
-@query(_LOG_SQL + _PROBES_SQL + "SELECT k FROM probes WHERE k IN (SELECT k FROM live)")
-def kv_exists_semi(spark, sf_dir):
-    return log.present(event_log(spark, sf_dir), probe_keys(spark, sf_dir))
-
-
-@query(_LOG_SQL + _PROBES_SQL + "SELECT k FROM probes WHERE k NOT IN (SELECT k FROM live)")
-def kv_exists_anti(spark, sf_dir):
-    return log.absent(event_log(spark, sf_dir), probe_keys(spark, sf_dir))
-
-
 @query(_LOG_SQL + _ALL_PROBES_SQL + "SELECT p.k, l.v, l.k IS NOT NULL AS found FROM (SELECT DISTINCT k FROM probes) p LEFT JOIN live l ON p.k = l.k")
 def kv_multi_get_all(spark, sf_dir):
     return log.get(event_log(spark, sf_dir), all_probe_keys(spark, sf_dir))
@@ -204,11 +176,6 @@ def kv_first_wins(spark, sf_dir):
     return log.first_wins(event_log(spark, sf_dir)).select("k", "seq", "v")
 
 
-@query(_LOG_SQL + ", cut AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log WHERE seq <= 500) SELECT k, seq, v FROM cut WHERE rn = 1 AND NOT deleted")
-def kv_as_of(spark, sf_dir):
-    return log.as_of(event_log(spark, sf_dir), 500).select("k", "seq", "v")
-
-
 @query(
     _LOG_SQL
     + """, cut AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS rn FROM log WHERE seq <= (SELECT max(seq) // 2 FROM log))
@@ -222,17 +189,6 @@ def kv_as_of_half(spark, sf_dir):
 # Changes
 
 
-@query(_LOG_SQL + ", batch AS (SELECT 'order:' || o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderkey % 50 = 0) SELECT k, v FROM live UNION ALL SELECT k, v FROM batch")
-def kv_put_batch(spark, sf_dir):
-    batch = read(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("k"), F.col("o_totalprice").alias("v"))
-    return log.live(log.put(event_log(spark, sf_dir), batch)).select("k", "v")
-
-
-@query(_LOG_SQL + _PROBES_SQL + "SELECT k, v FROM live WHERE k NOT IN (SELECT k FROM probes)")
-def kv_delete_batch(spark, sf_dir):
-    return log.live(log.delete(event_log(spark, sf_dir), probe_keys(spark, sf_dir))).select("k", "v")
-
-
 @query(_LOG_SQL + ", batch AS (SELECT 'order:' || o_orderkey AS k, o_totalprice AS v FROM orders) SELECT k, v FROM live UNION ALL SELECT k, v FROM batch")
 def kv_put_batch_all(spark, sf_dir):
     batch = read(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string")).alias("k"), F.col("o_totalprice").alias("v"))
@@ -416,12 +372,6 @@ def crc_mismatch_filter(spark, sf_dir):
     return integrity.crc_mismatches(damaged, "k", "text").select("k")
 
 
-@query(_LOG_SQL + "SELECT k, seq FROM log WHERE seq < (SELECT min(seq) FROM log WHERE seq > 300 AND v < 25)")
-def wal_valid_prefix(spark, sf_dir):
-    rows = event_log(spark, sf_dir).withColumn("bad", (F.col("seq") > 300) & (F.col("v") < 25))
-    return integrity.valid_prefix(rows).select("k", "seq")
-
-
 @query(_LOG_SQL + "SELECT k, seq FROM log WHERE seq < (SELECT min(seq) FROM log WHERE seq > (SELECT max(seq) // 2 FROM log) AND v < 25)")
 def wal_valid_prefix_half(spark, sf_dir):
     rows = event_log(spark, sf_dir)
@@ -435,11 +385,8 @@ _INDEX_SQL = """WITH idx AS (
 
 
 def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    off = F.coalesce(F.sum("n_chars").over(before), F.lit(0)) * F.when(F.col("doc_id") % 9 == 4, -1).otherwise(1)
-    return read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("entry"), off.cast("long").alias("off"))
+    docs = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("entry"), "n_chars")
+    return integrity.with_offsets(docs, "source", "entry", "n_chars", F.col("entry") % 9 == 4).select("source", "entry", "off")
 
 
 @query(_INDEX_SQL + "SELECT source, entry, off, (lead(abs(off)) OVER (PARTITION BY source ORDER BY entry) - abs(off))::BIGINT AS length, off < 0 AS tombstone FROM idx")
@@ -588,7 +535,7 @@ def object_paths(spark, sf_dir):
 
 @query(_LOG_SQL + "SELECT k, v FROM live")
 def json_map_roundtrip(spark, sf_dir):
-    packed = formats.json_map(log.live(event_log(spark, sf_dir)).select("k", F.col("v").cast("string").alias("v")), 8)
+    packed = formats.json_map(log.live(event_log(spark, sf_dir)).select("k", F.col("v").cast("string").alias("v")))
     pairs = packed.select(F.explode(F.from_json("value", "map<string,string>")).alias("k", "v"))
     return pairs.select("k", F.unbase64("v").cast("string").cast("double").alias("v"))
 
@@ -618,15 +565,104 @@ def map_callback_rename(spark, sf_dir):
     return log.live(log.put(log.delete(before, log.keys(before)), added)).select("k", "v")
 
 
+@query(_LOG_SQL + ", live_first AS (SELECT min(k) AS k FROM live WHERE v > 99) SELECT l.k, l.v FROM live l, live_first f WHERE f.k IS NULL OR l.k <= f.k")
+def map_scan_until(spark, sf_dir):
+    return callbacks.scan_until(event_log(spark, sf_dir), F.col("v") > 99)
+
+
 @query(_LOG_SQL + "SELECT k, seq, v, deleted FROM latest")
 def stream_latest_state(spark, sf_dir):
-    """The newest rows of the log, computed by a stream over its files."""
+    """The newest rows of the log, computed by a stream over its files into state on shared storage."""
     events = read(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     key = F.concat("event_type", F.lit(":"), F.col("user_id").cast("string"))
     gone = (F.col("event_type") == "error") | (F.col("value") < 20)
-    rows = log.build_log(stream, key, F.col("event_id"), F.col("value"), gone)
-    name = f"latest_{uuid.uuid4().hex}"
-    writer = streaming.newest_rows(rows).writeStream.outputMode("complete").format("memory").queryName(name)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return streaming.replay_stream(log.build_log(stream, key, F.col("event_id"), F.col("value"), gone))
+
+
+# Stores: the log written by a sink and read back
+
+
+def _stored(spark: SparkSession, sf_dir: str, kind: str, write: Callable[..., None], **options: int) -> DataFrame:
+    path = files.shared_folder(spark, kind)
+    rows = event_log(spark, sf_dir)
+    write(rows.withColumn("v", F.col("v").cast("string")), path, SHARDS, **options)
+    back = backends.sharded(kind)(spark, path)
+    return back.select(F.col("k").cast("string").alias("k"), "seq", F.col("v").cast("string").cast("double").alias("v"), "deleted")
+
+
+@query(_LOG_SQL + "SELECT k, v FROM live")
+def extent_store_roundtrip(spark, sf_dir):
+    return log.live(_stored(spark, sf_dir, "extent", formats.write_extent)).select("k", "v")
+
+
+@query(_LOG_SQL + "SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY seq) AS version_no FROM log WHERE NOT deleted")
+def timed_log_history(spark, sf_dir):
+    return log.history(_stored(spark, sf_dir, "timed", formats.write_timed_log)).select("k", "v", "version_no")
+
+
+@query(_LOG_SQL + "SELECT k, CASE WHEN NOT deleted THEN v END AS v, deleted FROM latest")
+def single_file_store_roundtrip(spark, sf_dir):
+    return _stored(spark, sf_dir, "store", formats.write_store, log_bytes=1 << 16).select("k", "v", "deleted")
+
+
+@query("SELECT url AS k, html AS v FROM pages")
+def object_store_roundtrip(spark, sf_dir):
+    path = files.shared_folder(spark, "objects")
+    named = read(spark, sf_dir, "pages").select(F.base64(F.col("url").cast("binary")).alias("b"), F.col("html").alias("v"))
+    formats.write_objects(named.select(F.translate("b", "/+=\r\n", "_-").alias("k"), "v"), path)
+    k = F.translate(F.col("k"), "_-", "/+")
+    padded = F.rpad(k, (F.ceil(F.length(k) / 4) * 4).cast("int"), F.lit("="))
+    return formats.read_objects(spark, path).select(F.unbase64(padded).cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+
+
+@query(_LOG_SQL + "SELECT CASE WHEN deleted THEN 't:' ELSE 'd:' END || k AS k, seq, CASE WHEN NOT deleted THEN v END AS v FROM latest")
+def tier_records(spark, sf_dir):
+    return tiers.to_records(event_log(spark, sf_dir))
+
+
+@query(_LOG_SQL + "SELECT k, v FROM live WHERE starts_with(k, 'view:')")
+def tier_records_prefix(spark, sf_dir):
+    records = tiers.to_records(event_log(spark, sf_dir))
+    return log.live(tiers.from_records(records.where(F.substring("k", 3, 5) == "view:"))).select("k", "v")
+
+
+@query(
+    _LOG_SQL.replace("WITH log", "WITH RECURSIVE log")
+    + f""", sharded AS (SELECT k, seq, CASE WHEN deleted THEN 0 ELSE strlen(k) + 8 END AS n, ({_HASH_SQL.format(k="k")} % {SHARDS})::INT AS shard FROM log),
+summed AS (SELECT shard, k, seq, sum(n) OVER (PARTITION BY shard ORDER BY seq) AS c FROM sharded),
+runs AS (
+  SELECT DISTINCT shard, 0::BIGINT AS run_id, -1::BIGINT AS start, 0::HUGEINT AS base FROM sharded
+  UNION ALL
+  SELECT r.shard, r.run_id + 1, min(s.seq), min(s.c) FROM runs r JOIN summed s ON s.shard = r.shard AND s.seq > r.start AND s.c >= r.base + 2048
+  GROUP BY r.shard, r.run_id)
+SELECT s.k, s.seq, s.shard, max(r.run_id) AS run_id FROM summed s JOIN runs r ON r.shard = s.shard AND r.start < s.seq GROUP BY s.k, s.seq, s.shard"""
+)
+def flush_runs(spark, sf_dir):
+    rows = event_log(spark, sf_dir).withColumn("bytes", (F.octet_length("k") + 8).cast("long"))
+    return tiers.flush_runs(rows, 2048, SHARDS)
+
+
+@query()
+def run_checksums(spark, sf_dir):
+    rows = event_log(spark, sf_dir).withColumn("run_id", F.floor(F.col("seq") / 1000))
+    return tiers.run_checksums(rows.withColumn("v", F.col("v").cast("string")), "run_id", "k", "v")
+
+
+@query("SELECT count(*) AS n_records, sum(ceil(strlen(coalesce(text, '')) / 8.0) * 8)::BIGINT AS used, (1000000000000 - sum(ceil(strlen(coalesce(text, '')) / 8.0) * 8))::BIGINT AS free, sum(ceil(strlen(coalesce(text, '')) / 8.0) * 8)::BIGINT * 100.0::DOUBLE / 1000000000000 AS used_percent FROM documents")
+def pool_statistics(spark, sf_dir):
+    return integrity.pool_statistics(_sized(spark, sf_dir), 1_000_000_000_000)
+
+
+@query("SELECT event_id FROM events WHERE event_id % 13 = 5")
+def guard_violations(spark, sf_dir):
+    front = F.col("event_id") * 7919
+    rows = read(spark, sf_dir, "events").select("event_id", front.alias("front"), hashing.guard(front).alias("rear"))
+    damaged = rows.withColumn("rear", F.when(F.col("event_id") % 13 == 5, F.col("rear") + 1).otherwise(F.col("rear")))
+    return integrity.guard_violations(damaged, "front", "rear").select("event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id + strlen(coalesce(text, '')) > 2000")
+def records_beyond_file(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n"))
+    return integrity.beyond(rows, "doc_id", "n", F.lit(2000)).select("doc_id")

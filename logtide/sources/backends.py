@@ -26,6 +26,7 @@ READERS: dict[str, Reader] = {
     "parquet": formats.read_parquet_log,
     "timed": formats.read_timed_log,
     "checked": formats.read_checked_log,
+    "store": formats.read_store,
     "extent": formats.read_extent,
     "json": _as_log(formats.read_json_map),
     "objects": _as_log(formats.read_objects),

@@ -7,6 +7,7 @@ import zlib
 import pytest
 
 from logtide.plans import catalogue
+from tests.conftest import ROOT
 from tests.oracle import DATA, check
 
 
@@ -51,3 +52,13 @@ def test_cuts_grow_with_the_log(spark):
         before = events.where(events.event_id <= half)
         assert catalogue.QUERIES["wal_valid_prefix_half"](spark, str(DATA / sf)).count() >= before.count()
         assert half * 0.9 < max(r.seq for r in catalogue.QUERIES["kv_as_of_half"](spark, str(DATA / sf)).collect()) <= half
+
+
+def test_entry_without_the_optional_part():
+    """The other queries load where a library of the training-data operators is missing, and where their folders are."""
+    import subprocess
+    import sys
+
+    hide = "import sys; sys.modules[{name!r}] = None; import __spark_entry__ as e; q = e.queries(); assert 'kv_live' in q and 'op3_bpe' not in q and set(e.oracle_sql()) <= set(q)"
+    for name in ("ahocorasick", "logtide.llm", "corpus_pipeline"):
+        subprocess.run([sys.executable, "-c", hide.format(name=name)], check=True, cwd=ROOT, capture_output=True)
