@@ -7,8 +7,9 @@ Two tokens are compatible when BPE on their joined text leaves exactly these two
 merge tree decides; answers are kept in a pair table. A row of compatible pairs is exactly
 what BPE makes, and no place is tried twice from the left, so the time is linear.
 
-The vocabulary is that of a ``tokenizers`` file with byte-level BPE and an end-of-word suffix,
-given as a parameter. Texts of common letters are normalised and split here; any other text
+The vocabulary is that of a ``tokenizers`` file with byte-level BPE, with or without an end-of-word suffix,
+given as a parameter; a file with settings that would change the ids is refused. If the file splits words as the lower-casing one does, texts of common letters
+are normalised and split here; any other text and any other file
 goes through the library's own normaliser and splitter, so both ways give the same words.
 Words met before come from a bounded cache.
 
@@ -24,6 +25,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Words that one generation of a worker's cache holds.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 _END = "Ā"  # stands for the end-of-word suffix behind the bytes of a word
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -42,6 +44,31 @@ _LOWER = "a-zß-öø-ÿ"
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LOWER}]+|[0-9]|[^\t-\r 0-9{_LOWER}]+")
 
 
+# Fixed values of a vocabulary file: the normaliser and splitter that the patterns above stand for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _settings(path: str) -> dict:
+    """The file's contents, if this encoder gives the library's ids for them."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model, splitter = found["model"], found["pre_tokenizer"] or {}
+    byte_level = "ByteLevel" in [splitter.get("type"), *(x["type"] for x in splitter.get("pretokenizers", []))]
+    unlike = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model["type"] != "BPE" or not byte_level or unlike or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in found["added_tokens"]):
+        raise ValueError(f"{path} isn't plain byte-level BPE {unlike}")
+    if (found["decoder"] or {"type": "ByteLevel"})["type"] != "ByteLevel":
+        raise ValueError(f"{path} has a decoder other than by bytes")
+    return found
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -75,6 +102,13 @@ class Generations(dict):
         return value
 
 
+def looked_up(cache: Generations, words: list) -> bytes:
+    """The ids of words one after another."""
+    if len(words) > 1:
+        return b"".join(itemgetter(*words)(cache))
+    return cache[words[0]] if words else b""
+
+
 class Splitter:
     """Text to words, each a string of byte characters; special tokens come out as ints."""
 
@@ -82,14 +116,16 @@ class Splitter:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        added = json.loads(open(path, encoding="utf-8").read())["added_tokens"]
+        found = _settings(path)
+        added = found["added_tokens"]
+        self._known = found["normalizer"] == _NORMALIZER and found["pre_tokenizer"] == _SPLITTER
         self.special = {t["content"]: t["id"] for t in added}
         self._special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self._bytes = {c: chr(b) for b, c in enumerate(_byte_alphabet())}
         self._bytes = str.maketrans(self._bytes)
 
     def plain(self, text: str) -> bool:
-        return _COMMON.fullmatch(text) is not None and "<|" not in text
+        return self._known and _COMMON.fullmatch(text) is not None and "<|" not in text
 
     def words(self, text: str) -> list[str | int]:
         """Words of any text; those of a ``plain`` text are lower-case strings not yet in bytes."""
@@ -100,7 +136,8 @@ class Splitter:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))
+                normal = self.library.normalizer.normalize_str(part) if self.library.normalizer else part
+                pieces = self.library.pre_tokenizer.pre_tokenize_str(normal)
                 out += ["ā" + piece.translate(self._bytes) for piece, _ in pieces]
         return out
 
@@ -114,9 +151,10 @@ class Encoder:
     """Exact BPE over one vocabulary file."""
 
     def __init__(self, path: str) -> None:
-        model = json.loads(open(path, encoding="utf-8").read())
-        added, model = model["added_tokens"], model["model"]
+        found = _settings(path)
+        added, model = found["added_tokens"], found["model"]
         suffix = model["end_of_word_suffix"] or ""
+        self.end = _END if suffix else ""
         chars = str.maketrans({c: chr(b) for b, c in enumerate(_byte_alphabet())})
         vocab = model["vocab"]
 
@@ -147,8 +185,13 @@ class Encoder:
         self.shorter = [next((ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ids), -1) for t in self.texts]
         self.lengths = [len(t) for t in self.texts]
         self.pairs: dict[tuple[int, int], bool] = {}
-        # Decoding: every token's text and a space behind it, in one block with offsets.
-        pieces = [s.encode("utf-8") + b" " for s in shown]
+        # Decoding: in one block with offsets, every token's bytes, or without a decoder its text and a space behind it.
+        if found["decoder"]:
+            special = {t["id"]: t["content"].encode() for t in added}
+            pieces = [special.get(i, s.encode("latin-1", "ignore")) for i, s in enumerate(self.texts)]
+        else:
+            pieces = [s.encode("utf-8") + b" " for s in shown]
+        self.between = 0 if found["decoder"] else 1
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         self.block = np.frombuffer(b"".join(pieces), np.uint8)
 
@@ -178,7 +221,7 @@ class Encoder:
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word, given as one character a byte."""
-        text = word + _END
+        text = word + self.end
         n, lengths = len(text), self.lengths
         longest = [-1] * n
         for end, token in self.automaton.iter(text):
@@ -203,13 +246,13 @@ class Encoder:
         return out
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """Texts of the tokens, a space between them."""
+        """The tokens' bytes, or where the file names no decoder their texts with a space between them."""
         if not len(ids):
             return b""
         first = self.offsets[ids]
         length = self.offsets[np.asarray(ids, np.int64) + 1] - first
         end = np.cumsum(length)
-        return self.block[np.arange(end[-1]) + np.repeat(first - end + length, length)][:-1].tobytes()
+        return self.block[np.arange(end[-1]) + np.repeat(first - end + length, length)][: end[-1] - self.between].tobytes()
 
 
 class Codec:
@@ -225,7 +268,7 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.cache.__getitem__, self.splitter.words(text)))
+        return looked_up(self.cache, self.splitter.words(text))
 
     def decode(self, ids: bytes) -> bytes:
         return self.encoder.decode(np.frombuffer(ids, "<u4"))

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from logtide.llm import scratch
-from logtide.llm.bpe import Generations, Splitter, default_vocabulary
+from logtide.llm.bpe import Generations, Splitter, default_vocabulary, looked_up
 from logtide.llm.joins import quantiles
 from logtide.llm.mph import PerfectHash
 from logtide.llm.words import mix
@@ -82,7 +82,7 @@ class LibraryCodec:
         new.difference_update(self.cache.older)
         if new:
             self._learn(list(new))
-        return [self._one(x) if words is None else b"".join(map(self.cache.__getitem__, words)) for x, words in zip(texts, split, strict=True)]
+        return [self._one(x) if words is None else looked_up(self.cache, words) for x, words in zip(texts, split, strict=True)]
 
 
 @functools.lru_cache(maxsize=1)

@@ -54,6 +54,38 @@ def test_encoder_is_exact(library):
     assert other.encode_batch(found) == [codec.encode(t) for t in found]
 
 
+def test_encoder_of_another_vocabulary(tmp_path):
+    """A byte-level file without a suffix, with another splitter and a decoder, gives the library's ids and texts; files that can't are refused."""
+    import json
+
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, codec = Tokenizer.from_file(path), bpe.Codec(path)
+    for text in [*ODD_TEXTS, "  two  spaces\n\nand Lines", "CamelCase don't", *(t or "" for t in cases.texts())]:
+        ids = other.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == ids
+        assert codec.decode(codec.encode(text)).decode() == other.decode(ids, skip_special_tokens=False)
+    found = [*ODD_TEXTS, "  two  spaces"]
+    assert token_store.LibraryCodec(path).encode_batch(found) == [codec.encode(t) for t in found]
+    settings = json.load(open(path, encoding="utf-8"))
+    for change in ({"dropout": 0.1}, {"byte_fallback": True}, {"type": "WordPiece"}):
+        (tmp_path / "t.json").write_text(json.dumps(settings | {"model": settings["model"] | change}))
+        with pytest.raises(ValueError, match="byte-level"):
+            bpe.Encoder(str(tmp_path / "t.json"))
+
+
+def test_caches_of_words_turn_over(library):
+    """With a cache of a few words, ids stay exact while generations come and go."""
+    codec, other = bpe.Codec(bpe.default_vocabulary()), token_store.LibraryCodec(bpe.default_vocabulary())
+    codec.cache.limit = other.cache.limit = 5
+    for text in cases.texts():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert np.frombuffer(codec.encode(text or ""), "<u4").tolist() == ids
+        assert np.frombuffer(other.encode_batch([text or ""])[0], "<u4").tolist() == ids
+    assert len(codec.cache) <= 5 and len(codec.cache.older) <= 5
+
+
 def test_encoder_on_random_letters(library):
     encoder, rng = bpe.Encoder(bpe.default_vocabulary()), np.random.default_rng(3)
     for _ in range(400):
