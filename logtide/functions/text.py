@@ -60,3 +60,20 @@ def trie(words: DataFrame, column: str) -> DataFrame:
     return nodes.groupBy("prefix").agg(
         F.max("depth").cast("long").alias("depth"), F.count("*").alias("n_words"), F.max(F.col("prefix") == F.col("word")).alias("is_word")
     )
+
+
+def trie_values(pairs: DataFrame, column: str, value: str, order: str) -> DataFrame:
+    """A row for each node of the trie over the words of ``column``: prefix, depth, is_word, and the word's value, the last by ``order``; null on the way."""
+    word = F.col(column)
+    last = pairs.where(word.isNotNull() & (word != "")).groupBy(word.alias("word")).agg(F.max_by(F.struct(F.col(value).alias("value")), order).alias("set"))
+    nodes = last.select("word", "set", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("depth"))
+    nodes = nodes.select("depth", F.expr("substring(word, 1, depth)").alias("prefix"), F.when(F.length("word") == F.col("depth"), F.col("set")).alias("set"))
+    found = nodes.groupBy("prefix").agg(F.max("depth").cast("long").alias("depth"), F.max(F.col("set").isNotNull()).alias("is_word"), F.first("set", ignorenulls=True).alias("set"))
+    return found.select("prefix", "depth", "is_word", "set.value")
+
+
+def trie_search(trie: DataFrame, probes: DataFrame, column: str) -> DataFrame:
+    """Each distinct probe with whether it is a word of a trie."""
+    words = trie.where("is_word").select(F.col("prefix").alias("_word"))
+    asked = probes.select(column).distinct()
+    return asked.join(words, F.col(column) == F.col("_word"), "left").select(column, F.col("_word").isNotNull().alias("found"))

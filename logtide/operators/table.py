@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -30,6 +34,17 @@ def sort_rows(table: DataFrame, *by: str | Column) -> DataFrame:
     return table.orderBy(*by)
 
 
+def sort_by_key(table: DataFrame, key: Callable[[pd.DataFrame], pd.Series], kind: str) -> DataFrame:
+    """Sort by what a function makes of each batch of rows, of SQL type ``kind``: an order of the caller's own. Rows of equal keys keep the order of row_no."""
+    schema = T.StructType([*table.schema.fields, T.StructField("_key", T.StructType.fromDDL(f"k {kind}")["k"].dataType)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(_key=key(batch))
+
+    return table.mapInPandas(run, schema).orderBy("_key", "row_no").drop("_key")
+
+
 def search(table: DataFrame, column: str, probes: DataFrame) -> DataFrame:
     """Rows whose column equals a probe."""
     return table.join(probes.select(F.col("probe").alias(column)), column, "left_semi")

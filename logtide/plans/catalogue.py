@@ -505,6 +505,26 @@ def trie_statistics(spark, sf_dir):
     return text.trie(read(spark, sf_dir, "part"), "p_type").agg(F.count("*").alias("n_nodes"), F.max("depth").alias("depth"))
 
 
+@query(
+    """WITH RECURSIVE last AS (SELECT p_type AS w, max(p_partkey) AS value FROM part WHERE p_type <> '' GROUP BY 1),
+nodes AS (SELECT DISTINCT substr(w, 1, d) AS prefix, d FROM (SELECT w, unnest(range(1, length(w) + 1)) AS d FROM last))
+SELECT n.prefix, n.d AS depth, l.w IS NOT NULL AS is_word, l.value FROM nodes n LEFT JOIN last l ON l.w = n.prefix"""
+)
+def trie_set_values(spark, sf_dir):
+    return text.trie_values(read(spark, sf_dir, "part"), "p_type", "p_partkey", "p_partkey")
+
+
+@query("SELECT DISTINCT p_name AS w, p_name IN (SELECT p_type FROM part) AS found FROM part")
+def trie_search(spark, sf_dir):
+    words = text.trie(read(spark, sf_dir, "part"), "p_type")
+    return text.trie_search(words, read(spark, sf_dir, "part").select(F.col("p_name").alias("w")), "w")
+
+
+@query(_PARTS_SQL + "SELECT * FROM parts ORDER BY length(p_name), reverse(p_name), row_no")
+def table_sort_by_key(spark, sf_dir):
+    return table.sort_by_key(_parts(spark, sf_dir), lambda rows: rows.p_name.map(lambda x: f"{len(x):09d}{x[::-1]}"), "string")
+
+
 @query(
     r"""SELECT doc_id, length(regexp_replace(text, '[^\x20-\x7e\n\r\t]', '', 'g')) / nullif(length(text), 0)::DOUBLE AS share,
        coalesce(length(regexp_replace(text, '[^\x20-\x7e\n\r\t]', '', 'g')) / nullif(length(text), 0)::DOUBLE > 0.8, false) AS printable FROM documents"""

@@ -12,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from logtide import cli
-from logtide.functions import hashing, lists
-from logtide.operators import blocks, callbacks, integrity, log, shards, tiers
+from logtide.functions import hashing, lists, text
+from logtide.operators import blocks, callbacks, integrity, log, shards, table, tiers
+from logtide.plans import workload
 from logtide.sources import backends, extents, files, formats, logfiles, rowtables
 from logtide.streaming import latest as streaming
 
@@ -203,8 +204,8 @@ def test_sql_store(spark, tmp_path):
 def test_metadata(spark, tmp_path):
     formats.write_metadata(spark, str(tmp_path / "metadata.json"), 2, 16, 99)
     assert tuple(formats.read_metadata(spark, str(tmp_path / "metadata.json")).first()) == (2, 16, 99)
-    text = {"tiers": [{"level": 0, "store_ids": ["a", "b"], "total_size": 70}, {"level": 1, "store_ids": [], "total_size": 5}], "max_tier_sizes": [64, 256], "last_flush": "2024-05-06T07:08:09.123456789Z"}
-    (tmp_path / "tiers.json").write_text(json.dumps(text))
+    body = {"tiers": [{"level": 0, "store_ids": ["a", "b"], "total_size": 70}, {"level": 1, "store_ids": [], "total_size": 5}], "max_tier_sizes": [64, 256], "last_flush": "2024-05-06T07:08:09.123456789Z"}
+    (tmp_path / "tiers.json").write_text(json.dumps(body))
     rows = formats.read_tier_metadata(spark, str(tmp_path / "tiers.json")).orderBy("level").collect()
     assert [(r.level, r.store_ids, r.total_size, r.max_size, r.over) for r in rows] == [(0, ["a", "b"], 70, 64, True), (1, [], 5, 256, False)]
     assert rows[0].last_flush.year == 2024
@@ -356,6 +357,24 @@ def test_generations_spread_hot_shards(spark, tmp_path):
     assert len(list((tmp_path / "g/data-1/shard=0").glob("*.parquet"))) > 1 and spark.read.parquet(f"{base}/data-1").count() == 3000
 
 
+def test_tries_and_orders(spark):
+    words = spark.createDataFrame([("tree", 1, "a"), ("tree", 2, "b"), ("trick", 3, "c"), ("t", 4, None), ("", 5, "x"), (None, 6, "y")], "w string, n int, v string")
+    found = {r.prefix: (r.depth, r.is_word, r.value) for r in text.trie_values(words, "w", "v", "n").collect()}
+    assert found["tree"] == (4, True, "b") and found["tre"] == (3, False, None) and found["t"] == (1, True, None) and "" not in found
+    probes = spark.createDataFrame([("tree",), ("tref",), ("tre",)], "p string")
+    assert {(r.p, r.found) for r in text.trie_search(text.trie(words, "w"), probes, "p").collect()} == {("tree", True), ("tref", False), ("tre", False)}
+    rows = spark.createDataFrame([(1, "bb"), (2, "a"), (3, "ccc"), (4, "dd")], "row_no int, s string")
+    assert [r.row_no for r in table.sort_by_key(rows, lambda x: -x.s.str.len(), "long").collect()] == [3, 1, 4, 2]
+
+
+def test_workload(spark, tmp_path):
+    load = workload.Workload("tiny", 200, (16, 32), (5, 50), 70, 80)
+    record = workload.run(spark, load, str(tmp_path / "w"))
+    assert record["errors"] == 0 and record["operations_per_second"] > 0 and spark.read.parquet(str(tmp_path / "w/log")).select("k").distinct().count() == 200
+    written = spark.read.parquet(str(tmp_path / "w/written"))
+    assert 0 < written.count() <= 80 and written.agg(F.min("seq")).first()[0] == 201
+
+
 # Streams
 
 
