@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logtide.llm.joins import BROADCAST_ROWS, quantiles
-from logtide.llm.scratch import Scratch
+from logtide.llm.scratch import MOST_BUCKETS, Scratch, ordered_buckets
 
+#: Keys that one bucket of a run holds, about.
+BUCKET_KEYS = 2_000_000
 _SPACE = b" \t\n\r\x0b\x0c"
 
 
@@ -61,10 +63,14 @@ def _keys_of(min_chars: int):
 
 
 class LineRuns:
-    """Levels of sorted runs (key, n_docs, holder); every batch must hold smaller ids than those before it."""
+    """Levels of sorted runs (key, n_docs, holder); every batch must hold smaller ids than those before it.
 
-    def __init__(self, scratch: Scratch, fanout: int = 2) -> None:
-        self.scratch, self.fanout = scratch, fanout
+    Runs have the same buckets of keys, each sorted, so a batch meets them and runs are compacted by merging buckets:
+    only a batch's own aggregation shuffles.
+    """
+
+    def __init__(self, scratch: Scratch, buckets: int, fanout: int = 2) -> None:
+        self.scratch, self.buckets, self.fanout = scratch, buckets, fanout
         self.levels: list[list[DataFrame]] = []
 
     def runs(self) -> list[DataFrame]:
@@ -72,33 +78,40 @@ class LineRuns:
 
     def add(self, occurrences: DataFrame) -> None:
         batch = occurrences.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("holder"))
-        if self.runs():
-            batch = self.scratch.keep(batch, "batch")
-            new = batch
-            for run in self.runs():
-                new = new.hint("merge").join(run.select("key"), "key", "left_anti")
-            own = new.select("key", F.lit(True).alias("new"))
-            batch = batch.join(own, "key", "left").select("key", "n_docs", F.when(F.col("new"), F.col("holder")).alias("holder"))
-        self._store(batch, 0)
-
-    def _store(self, rows: DataFrame, level: int) -> None:
+        batch = self.scratch.keep_sorted(batch, "batch", "key", self.buckets)
+        if not self.runs():
+            self._store(batch, 0)
+            return
+        new = batch.select("key")
+        for run in self.runs():
+            new = new.join(run.select("key").hint("merge"), "key", "left_anti")
+        marked = batch.join(new.select("key", F.lit(True).alias("new")).hint("merge"), "key", "left")
+        run = marked.select("key", "n_docs", F.when(F.col("new"), F.col("holder")).alias("holder"))
+        self._store(self.scratch.keep_sorted(run, "run0", "key", self.buckets, dealt=True), 0)
+        self.scratch.drop(batch)
+
+    def _store(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(self.scratch.keep(rows.repartition("key").sortWithinPartitions("key"), f"run{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._store(self._merged(old), level + 1)
+            self._store(self.scratch.keep_sorted(self._merged(old), f"run{level + 1}", "key", self.buckets, dealt=True), level + 1)
             self.scratch.drop(*old)
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
         rows = runs[0]
         for run in runs[1:]:
-            rows = rows.unionByName(run)
-        return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+            own = run.select("key", F.col("n_docs").alias("more"), F.col("holder").alias("other")).hint("merge")
+            total = F.coalesce("n_docs", F.lit(0)) + F.coalesce("more", F.lit(0))
+            rows = rows.join(own, "key", "full").select("key", total.alias("n_docs"), F.greatest("holder", "other").alias("holder"))
+        return rows
 
-    def merged(self) -> DataFrame:
-        return self._merged(self.runs())
+    def frequent(self, min_docs: int) -> DataFrame:
+        """(key, holder) of the keys of at least so many documents."""
+        with ordered_buckets(self.scratch.spark):
+            return self.scratch.keep(self._merged(self.runs()).where(F.col("n_docs") >= min_docs).select("key", "holder"), "frequent")
 
 
 def _of_documents(scratch: Scratch, docs: DataFrame, occurrences: DataFrame) -> DataFrame:
@@ -118,11 +131,12 @@ def dropped_keys(docs: DataFrame, *, min_chars: int = 20, min_docs: int = 3, bat
     occurrences = scratch.keep(rows.mapInArrow(_keys_of(min_chars), "doc_id long, text_key long, key binary"), "occurrences")
     held = _of_documents(scratch, rows.select("doc_id"), occurrences)
     cuts = quantiles(occurrences, "doc_id", batches)
-    runs = LineRuns(scratch, fanout)
+    buckets = min(max(docs.sparkSession.sparkContext.defaultParallelism, 1 + occurrences.count() // BUCKET_KEYS), MOST_BUCKETS)
+    runs = LineRuns(scratch, buckets, fanout)
     batch = sum((F.coalesce(F.col("doc_id") > cut, F.lit(False)).cast("int") for cut in cuts), F.lit(0))
     for b in range(len(cuts), -1, -1):
         runs.add(held.where(batch == b))
-    frequent = scratch.keep(runs.merged().where(F.col("n_docs") >= min_docs).select("key", "holder"), "frequent")
+    frequent = runs.frequent(min_docs)
     lost = occurrences.join(frequent, "key").where(~F.col("doc_id").eqNullSafe(F.col("holder")))
     lost = scratch.keep(lost.groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("keys")), "lost")
     scratch.drop(occurrences, frequent, *runs.runs())

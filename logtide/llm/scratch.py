@@ -17,6 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark removes a finished execution's shuffle files when this is set.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark takes the order of a bucket that is one file as sorted when this is set.
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+#: Most buckets that Spark allows by default.
+MOST_BUCKETS = 100_000
 _own: dict[str, str] = {}
 _watching: list[list[str]] = []
 _log = logging.getLogger(__name__)
@@ -72,14 +76,23 @@ def watched() -> Iterator[list[str]]:
 
 
 @contextlib.contextmanager
-def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within this, Spark removes the shuffle files of an execution as soon as it ends."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+def _set(spark: SparkSession, name: str) -> Iterator[None]:
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        spark.conf.set(name, before)
+
+
+def short_lived_shuffles(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within this, Spark removes the shuffle files of an execution as soon as it ends."""
+    return _set(spark, _CLEANUP)
+
+
+def ordered_buckets(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Within this, sorted buckets are read as sorted."""
+    return _set(spark, _ORDERED)
 
 
 class Scratch:
@@ -93,12 +106,27 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.name = spark, name
         self._paths: dict[int, tuple[DataFrame, str]] = {}  # holds the table too, so that no other object gets its id
+        self._tables: dict[str, str] = {}
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{label}")
         with short_lived_shuffles(self.spark):
             df.write.option("compression", "zstd").parquet(path)
-        table = self.spark.read.schema(df.schema).parquet(path)
+        return self._listed(self.spark.read.schema(df.schema).parquet(path), path)
+
+    def keep_sorted(self, df: DataFrame, label: str, key: str, buckets: int, *, dealt: bool = False) -> DataFrame:
+        """A table in ``buckets`` of hashes of ``key``, each one file in order of key, so that tables of as many buckets merge without a shuffle or a sort.
+
+        ``dealt`` says that a task of ``df`` holds one bucket already, as after a merge of such tables.
+        """
+        path, name = new_path(self.spark, f"{self.name}-{label}"), f"scratch_{uuid.uuid4().hex}"
+        rows = df if dealt else df.repartition(buckets, key)
+        with short_lived_shuffles(self.spark), ordered_buckets(self.spark):
+            rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        self._tables[path] = name
+        return self._listed(self.spark.table(name), path)
+
+    def _listed(self, table: DataFrame, path: str) -> DataFrame:
         self._paths[id(table)] = table, path
         for made in _watching:
             made.append(path)
@@ -108,6 +136,8 @@ class Scratch:
         for table in tables:
             kept = self._paths.pop(id(table), None)
             if kept:
+                if kept[1] in self._tables:
+                    self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(kept[1])}")
                 remove(self.spark, kept[1])
 
     def drop_all_but(self, *tables: DataFrame) -> None:

@@ -351,6 +351,22 @@ def test_line_dedup_counts_documents(spark, broadcast_rows):
         assert {(r.doc_id, r.kept) for r in found} == {(i, brute.without_lines(rows, row=True)[k][2]) for k, (i, _) in enumerate(rows)}
 
 
+def test_sorted_runs_merge_without_a_shuffle_or_a_sort(spark):
+    own = scratch.Scratch(spark, "test")
+    a, b = (own.keep_sorted(spark.range(i, 400, 3).select(F.col("id").cast("string").cast("binary").alias("key"), F.lit(1).alias("n_docs"), F.col("id").alias("holder")), "run", "key", 5) for i in (0, 1))
+    with scratch.ordered_buckets(spark):
+        for merged in (a.join(b.select("key").hint("merge"), "key", "left_anti"), line_dedup.LineRuns._merged([a, b])):
+            merged.collect()
+            plan = merged._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+            assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+    both = own.keep_sorted(line_dedup.LineRuns._merged([a, b]), "run", "key", 5, dealt=True)
+    assert both.count() == a.count() + b.count()
+    with scratch.ordered_buckets(spark):
+        assert both.join(a.hint("merge"), "key", "left_semi").count() == a.count()
+    own.drop(a, b, both)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("scratch_")]
+
+
 # 6: quality classifier
 
 
