@@ -19,8 +19,8 @@ unused among the next two words, and so on, up to four halves. Both documents of
 the same steps. The rarity asked for grows with the number of documents, so that
 about as many unrelated documents meet under a key at any size, for a few more keys.
 
-Candidates. Equal keys meet in hash joins; nothing else is a candidate, and next words must
-differ in at most one bit, and with those after them in two. The member of a bucket with the most shared keys is its pivot and is paired
+Candidates. Equal keys meet in hash joins; nothing else is a candidate, and the n words after the first, for n
+up to four, must differ in at most n bits. The member of a bucket with the most shared keys is its pivot and is paired
 with the others. Verified links are contracted to components; pivots, which met every other
 member, leave, and so do buckets that lie within one component. The pairs of a bucket that
 are left between different components, by the same test, come from one more join. No
@@ -61,10 +61,12 @@ _BITS = 64
 #: Words of the short sketch of a set of up to so many elements; it doubles with the size.
 _SHORT_WORDS, _SHORT_SIZE = 16, 400
 _LOW = 0xFFFF
+#: Words after the first that a candidate's are compared with, 16 bits of each.
+_FOLLOWING = 4
 #: Most halves that a key takes in, words of sketches turned into keys at a time, and classes that a task remembers.
 _MOST_HALVES, _RUN_WORDS, _SEEN = 4, 1 << 16, 200_000
 #: Rounds in which keys are matched, each with its share of the keys; more rounds need less disk at once and work keys out more often.
-ROUNDS = 2
+ROUNDS = 3
 
 
 def band_limits(num: int, den: int, largest: int = 1 << 40) -> list[int]:
@@ -132,21 +134,22 @@ def bits_needed(documents: int, num: int, den: int) -> np.ndarray:
     """Set bits that a key needs, by band and by how many halves it has taken in.
 
     A key's information, from how likely words of unrelated sets have its content, is to reach about the logarithm
-    of the number of documents on a band, so few of them meet by chance however many there are.
+    of the number of documents on a band, so few of them meet by chance however many there are. Numbers aren't whole: places
+    round them differently, so that keys grow evenly with the documents.
     """
     limits = np.array(band_limits(num, den))
     per_word = limits[:-1] / np.array(band_parts(num, den, limits.tolist()))  # elements a word, the same for both documents of a pair
     of_set, of_clear = np.log2(_BITS / per_word), per_word / _BITS * np.log2(np.e)
     width = _BITS + _BITS // 2 * np.arange(_MOST_HALVES + 1)
-    wanted = max(math.log2(max(documents, 2)) - 2, 6)
-    return np.ceil((wanted - np.outer(of_clear, width)) / (of_set - of_clear)[:, None]).astype(np.int64)
+    wanted = max(math.log2(max(documents, 2)) - 1, 6)
+    return (wanted - np.outer(of_clear, width)) / (of_set - of_clear)[:, None]
 
 
 def key_rows(flat: np.ndarray, begin: np.ndarray, band: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of sketches (words, where each text's begin, its band): text, key, and the two next words.
+    """Keys of sketches (words, where each text's begin, its band): text, key, and the next four words.
 
     The next words are folded to 16 bits each by XOR, which keeps them parity sketches; the first is in
-    the low bits. A sketch of one word has no keys: its linked sets are equal.
+    the low bits. In a sketch of fewer words they come round again. A sketch of one word has no keys: its linked sets are equal.
     """
     words, parts = flat.view(_U), np.diff(begin)
     text = np.repeat(np.arange(len(parts)), parts)
@@ -161,16 +164,20 @@ def key_rows(flat: np.ndarray, begin: np.ndarray, band: np.ndarray, needed: np.n
     def folded(x: np.ndarray) -> np.ndarray:
         for half in (32, 16):
             x = x ^ (x >> _U(half))
-        return (x & _U(_LOW)).astype(np.uint32)
+        return x & _U(_LOW)
 
     rows = np.arange(len(start))
-    follow = (folded(after(rows, 1)) | (folded(after(rows, 2)) << np.uint32(16))).view(np.int32)
+    follow = np.zeros(len(start), _U)
+    for n in range(_FOLLOWING):
+        follow |= folded(after(rows, n + 1)) << _U(16 * n)
+    follow = follow.view(np.int64)
     key = W.mix(words[start] + W.mix(place.astype(_U) * _U(0x9E3779B97F4A7C15) + band[text].astype(_U)))
     bits, used = np.bitwise_count(words[start]).astype(np.int64), np.zeros(len(start), np.int64)
+    less = place * 0.6180339887498949 % 1
     out = []
     for taken in range(1, _MOST_HALVES + 2):
         own = text[rows]
-        ready = (bits >= needed[band[own], taken - 1]) | (parts[own] <= taken) | (taken > _MOST_HALVES)
+        ready = (bits >= needed[band[own], taken - 1] - less[rows]) | (parts[own] <= taken) | (taken > _MOST_HALVES)
         out.append((rows[ready], key[ready]))
         rows, key, bits, used = (x[~ready] for x in (rows, key, bits, used))
         if not len(rows):
@@ -272,16 +279,18 @@ def _shared_keys(scratch: Scratch, table: DataFrame, needed: np.ndarray) -> list
     for nth in range(ROUNDS):
         met = rows.mapInArrow(_keyed(needed, nth, False), "word long, cls long").groupBy("word").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
         met = scratch.keep(met.where("lo < hi").select("word"), "met")
-        keys = rows.mapInArrow(_keyed(needed, nth, True), "word long, cls long, next int")
+        keys = rows.mapInArrow(_keyed(needed, nth, True), "word long, cls long, next long")
         found.append(scratch.keep(keys.join(met.hint("merge"), "word", "left_semi"), "shared"))
         scratch.drop(met)
     return found
 
 
 def _follows(a: str, b: str) -> Column:
-    """Next words that differ in one bit at most, and with the words after them in two at most."""
-    apart = F.col(a).bitwiseXOR(F.col(b))
-    return (F.bit_count(apart) <= 2) & (F.bit_count(apart.bitwiseAND(F.lit(_LOW))) <= 1)
+    """Whether the n words after the first differ in n bits at most, for n from 1 to 4."""
+    apart, near = F.col(a).bitwiseXOR(F.col(b)), F.lit(True)
+    for n in range(1, _FOLLOWING + 1):
+        near = near & (F.bit_count(apart.bitwiseAND(F.lit((1 << 16 * n) - 1)) if n < _FOLLOWING else apart) <= n)
+    return near
 
 
 def _shortened(x: str, length: Column) -> Column:
