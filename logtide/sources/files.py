@@ -130,7 +130,7 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, in
 def write_shards(log: DataFrame, path: str, shards: int, write: Writer, order: list[str]) -> None:
     """Write each shard of a log into a folder of its number below ``path``, which must not exist, by ``write(folder, records)``.
 
-    A shard is one task's sorted stream. Moving the folders to their place is the last step.
+    A shard is one task's sorted stream. Moving the files to their place is the last step.
     """
     from logtide.operators.shards import with_shard
 
@@ -167,8 +167,10 @@ def write_shards(log: DataFrame, path: str, shards: int, write: Writer, order: l
     rows = with_shard(log, shards).select("shard", *columns).repartitionById(shards, "shard").sortWithinPartitions("shard", *order)
     written = rows.mapInArrow(run, "shard int, name string").collect()  # a row a shard
     own.create_dir(place, recursive=True)
-    for shard, name in written:
-        own.move(f"{attempts}/{name}", f"{place}/{shard}")
+    for shard, name in written:  # file by file, as object stores have no folders to move
+        own.create_dir(f"{place}/{shard}", recursive=True)
+        for found in own.get_file_info(pafs.FileSelector(f"{attempts}/{name}")):
+            own.move(found.path, f"{place}/{shard}/{found.base_name}")
     if own.get_file_info(attempts).type != pafs.FileType.NotFound:
         own.delete_dir(attempts)
 

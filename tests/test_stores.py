@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logtide import cli
 from logtide.functions import hashing, lists, text
-from logtide.operators import blocks, callbacks, integrity, log, shards, table, tiers
+from logtide.operators import blocks, callbacks, integrity, log, shards, stores, table, tiers
 from logtide.plans import workload
 from logtide.sources import backends, extents, files, formats, logfiles, rowtables
 from logtide.streaming import latest as streaming
@@ -375,6 +375,61 @@ def test_workload(spark, tmp_path):
     assert 0 < written.count() <= 80 and written.agg(F.min("seq")).first()[0] == 201
 
 
+def random_changes(spark, store, seed, rounds=6):
+    rng, model = random.Random(seed), {}
+    for b in range(rounds):
+        put = {f"k{rng.randrange(30)}": f"v{b}-{rng.randrange(99)}" for _ in range(8)}
+        store.put(spark.createDataFrame(list(put.items()), "k string, v string"))
+        model |= put
+        gone = [f"k{rng.randrange(40)}" for _ in range(4)]
+        store.delete(spark.createDataFrame([(k,) for k in gone], "k string"))
+        for k in gone:
+            model.pop(k, None)
+    return model
+
+
+def test_tiered_store(spark, tmp_path):
+    store = stores.TieredStore(spark, str(tmp_path / "t"), limits=(60, 150, 10_000))
+    assert store.scan().count() == 0 and store.versions() == []
+    model = random_changes(spark, store, 1)
+    assert {r.k: r.v for r in store.scan().collect()} == model
+    assert {r.tier for r in store.sizes().collect()} - {0} and not any(r.flush for r in store.sizes().collect())
+    asked = spark.createDataFrame([(f"k{i}",) for i in range(45)], "k string")
+    assert {r.k: r.v for r in store.get(asked).collect()} == {f"k{i}": model.get(f"k{i}") for i in range(45)}
+    before = store.versions()[-1]
+    store.delete(spark.createDataFrame([(k,) for k in model], "k string"))
+    store.put(spark.createDataFrame([("new", "x")], "k string, v string"))
+    assert {r.k: r.v for r in store.scan(before).collect()} == model and {r.k for r in store.scan().collect()} == {"new"}
+    again = stores.TieredStore(spark, str(tmp_path / "t"), limits=(60, 150, 10_000))
+    again.flush(0)
+    again.flush(1)
+    assert again.log().where("deleted").count() == 0 and {r.k for r in again.scan().collect()} == {"new"}
+    again.vacuum()
+    assert len(again.versions()) == 1 and len(list((tmp_path / "t/runs").glob("*"))) == 1 and {r.v for r in again.scan().collect()} == {"x"}
+
+
+def test_sharded_store(spark, tmp_path):
+    store = stores.ShardedStore(spark, str(tmp_path / "s"), 5)
+    assert store.scan().count() == 0
+    store.compact()
+    model = random_changes(spark, store, 2)
+    check = lambda s: {r.k: r.v for r in s.scan().collect()} == model
+    assert check(store)
+    one = next(iter(model))
+    assert [tuple(r) for r in store.lookup(one).collect()] == [(one, model[one])]
+    versions = store.log().count()
+    store.compact()
+    assert check(store) and store.log().count() == len(model) < versions and store.generation == 1
+    (tmp_path / "s/data-2/shard=0").mkdir(parents=True)  # an interrupted compaction
+    again = stores.ShardedStore(spark, str(tmp_path / "s"), 99)
+    assert (again.n, again.generation) == (5, 1) and check(again) and not (tmp_path / "s/data-2").exists()
+    assert {r.k: r.found for r in again.get(spark.createDataFrame([(one,), ("none",)], "k string")).collect()} == {one: True, "none": False}
+    total = again.sizes().where("shard IS NULL").first()
+    assert (total.n_keys, total.n_bytes) == (len(model), sum(len(k) + len(v) for k, v in model.items()))
+    again.put(spark.createDataFrame([(one, "later")], "k string, v string"))
+    assert again.lookup(one).first().v == "later"
+
+
 # Streams
 
 
