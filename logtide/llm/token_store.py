@@ -77,11 +77,10 @@ class LibraryCodec:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.splitter.words(x) if self.splitter.plain(x) else None for x in texts]
-        new = set().union(*(words for words in split if words))
-        new.difference_update(self.cache)
-        new.difference_update(self.cache.older)
+        young, old = self.cache, self.cache.older
+        new = [word for word in set().union(*(words for words in split if words)) if word not in young and word not in old]
         if new:
-            self._learn(list(new))
+            self._learn(new)
         return [self._one(x) if words is None else looked_up(self.cache, words) for x, words in zip(texts, split, strict=True)]
 
 
