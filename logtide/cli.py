@@ -50,15 +50,12 @@ def parser() -> argparse.ArgumentParser:
 
 
 def describe(number: int, value: bytes) -> list[str]:
-    """Lines that show one value of a history."""
-    lines = [f"--- Value #{number} ---"]
-    if len(value) > _PREVIEW_BYTES:
-        lines += [f"First {_PREVIEW_BYTES} bytes: {value[:_PREVIEW_BYTES].hex()}", f"Length: {len(value)} bytes"]
-    else:
-        lines.append(f"Full value: {value.hex()}")
+    """Lines that show one value of a history: its bytes in hexadecimal, and its text where it is printable; long ones are cut."""
+    cut = " ..." if len(value) > _PREVIEW_BYTES else ""
+    lines = [f"{number}\t{len(value)} bytes\t{value[:_PREVIEW_BYTES].hex()}{cut}"]
     if is_printable_bytes(value):
         text = value.decode("utf-8", "replace")
-        lines.append(f"As text (first {_PREVIEW_TEXT} characters): {text[:_PREVIEW_TEXT]}..." if len(text) > _PREVIEW_TEXT else f"As text: {text}")
+        lines.append(f"{number}\ttext\t{text[:_PREVIEW_TEXT]}{' ...' if len(text) > _PREVIEW_TEXT else ''}")
     return lines
 
 
@@ -100,24 +97,24 @@ def run(arguments: list[str], spark: SparkSession, show: Callable[[str], None] =
     if options.command == "history":
         own = rows.where(F.col("k") == F.lit(key))
         found = log.history(own).orderBy("version_no")
-        show(f"Found {found.count()} values for key {key.hex()}")
+        show(f"{found.count()} values of {key.hex()}")
         for row in found.toLocalIterator():
             for line in describe(row.version_no, bytes(row.v or b"")):
                 show(line)
         if options.output:
-            show(f"Saved {formats.export_values(own, options.output)} values to {options.output}")
+            show(f"{formats.export_values(own, options.output)} values written below {options.output}")
     elif options.command == "keys":
         for row in log.prefix_scan(rows, options.prefix.encode()).select("k").orderBy("k").toLocalIterator():
             show(bytes(row.k).hex() if options.hex else bytes(row.k).decode("utf-8", "replace"))
     elif options.command == "dump":
         for row in log.live(rows).orderBy("k").toLocalIterator():
-            show(f"Key: {bytes(row.k).decode('utf-8', 'replace')}, Value: {bytes(row.v or b'').decode('utf-8', 'replace')}")
+            show("\t".join(bytes(x or b"").decode("utf-8", "replace") for x in (row.k, row.v)))
     elif options.command == "info":
         size = log.size(rows.withColumn("k", F.hex("k")).withColumn("v", F.hex("v"))).first()
         operations = log.net_operations(rows).first()
-        show(f"Live keys: {size.n_keys}")
-        show(f"Bytes of live keys and values: {size.n_bytes // 2}")
-        show(f"Puts less deletes: {operations.net_ops or 0}")
+        show(f"live keys\t{size.n_keys}")
+        show(f"bytes of live pairs\t{size.n_bytes // 2}")
+        show(f"puts less deletes\t{operations.net_ops or 0}")
     elif options.command == "export":
-        show(f"Saved {formats.export_values(rows, options.output)} values to {options.output}")
+        show(f"{formats.export_values(rows, options.output)} values written below {options.output}")
     return 0

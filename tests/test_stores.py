@@ -240,17 +240,18 @@ def test_command_line(spark, tmp_path):
     assert run("get", "b") == run("get", "unknown") == 1
     said.clear()
     assert run("history", "a", "--output", str(tmp_path / "out")) == 0
-    assert said == ["Found 2 values for key 61", "--- Value #1 ---", f"Full value: {b'first'.hex()}", "As text: first", "--- Value #2 ---", f"Full value: {b'second'.hex()}", "As text: second", f"Saved 2 values to {tmp_path / 'out'}"]
+    lines = [f"{i}\t{len(v)} bytes\t{v.hex()}\n{i}\ttext\t{v.decode()}" for i, v in ((1, b"first"), (2, b"second"))]
+    assert "\n".join(said) == "\n".join(["2 values of 61", *lines, f"2 values written below {tmp_path / 'out'}"])
     assert {p.name: p.read_bytes() for p in (tmp_path / "out").glob("*")} == {f"61value{i}.{e}": v for i, v in ((1, b"first"), (2, b"second")) for e in ("bin", "txt")}
     said.clear()
     run("history", "c")
-    assert said[2:] == [f"First 40 bytes: {bytes(range(40)).hex()}", "Length: 50 bytes"]
+    assert said[1:] == [f"1\t50 bytes\t{bytes(range(40)).hex()} ..."]
     said.clear()
     run("keys")
     run("--hex", "keys", "--prefix", "a")
     run("dump")
     run("info")
-    assert said[:3] == ["a", "c", "61"] and said[3] == "Key: a, Value: second" and said[-3:] == ["Live keys: 2", f"Bytes of live keys and values: {2 + 6 + 50}", "Puts less deletes: 2"]
+    assert said[:3] == ["a", "c", "61"] and said[3] == "a\tsecond" and said[-3:] == ["live keys\t2", f"bytes of live pairs\t{2 + 6 + 50}", "puts less deletes\t2"]
     assert run("export", str(tmp_path / "all")) == 0 and len(list((tmp_path / "all").glob("*.bin"))) == 4
     formats.write_extent(spark.read.schema(SCHEMA).parquet(store), str(tmp_path / "e"), 2)
     said.clear()
