@@ -65,8 +65,9 @@ _LOW = 0xFFFF
 _FOLLOWING = 4
 #: Most halves that a key takes in, words of sketches turned into keys at a time, and classes that a task remembers.
 _MOST_HALVES, _RUN_WORDS, _SEEN = 4, 1 << 16, 200_000
-#: Rounds in which keys are matched, each with its share of the keys; more rounds need less disk at once and work keys out more often.
-ROUNDS = 3
+#: Most rounds in which keys are matched, each with its share of the keys, and words of sketches for one round. More rounds need
+#: less disk at once and work keys out more often; small tables need one.
+ROUNDS, ROUND_WORDS = 3, 16_000_000
 
 
 def band_limits(num: int, den: int, largest: int = 1 << 40) -> list[int]:
@@ -236,7 +237,7 @@ def _sets(shingle: int, seed: int):
     return run
 
 
-def _keyed(needed: np.ndarray, nth: int, with_next: bool):
+def _keyed(needed: np.ndarray, nth: int, rounds: int, with_next: bool):
     """Stored sketches to (word, cls) or (word, cls, next): the nth round's keys of both sketches. A task gives a class's keys once, as far as it remembers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +260,7 @@ def _keyed(needed: np.ndarray, nth: int, with_next: bool):
                 while lo < len(cls):
                     hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _RUN_WORDS, "right")) - 1)
                     text, key, follow = key_rows(flat[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], band[lo:hi] + up, needed)
-                    own = key % _U(ROUNDS) == nth
+                    own = key % _U(rounds) == nth
                     text, key, follow = text[own], key[own], follow[own]
                     columns = [W.signed(key), pa.array(cls[lo:hi][text])] + [pa.array(follow)] * with_next
                     yield pa.RecordBatch.from_arrays(columns, ["word", "cls", "next"][: len(columns)])
@@ -268,7 +269,7 @@ def _keyed(needed: np.ndarray, nth: int, with_next: bool):
     return run
 
 
-def _shared_keys(scratch: Scratch, table: DataFrame, needed: np.ndarray) -> list[DataFrame]:
+def _shared_keys(scratch: Scratch, table: DataFrame, needed: np.ndarray, rounds: int) -> list[DataFrame]:
     """(word, cls, next): the keys that two classes or more have, in two passes over the sketches for each round.
 
     The first aggregates each key's smallest and largest class, so a key of any number of classes costs a row
@@ -276,10 +277,10 @@ def _shared_keys(scratch: Scratch, table: DataFrame, needed: np.ndarray) -> list
     """
     rows = table.where("n_shingles > 0").select("cls", "band", "own", "above")
     found = []
-    for nth in range(ROUNDS):
-        met = rows.mapInArrow(_keyed(needed, nth, False), "word long, cls long").groupBy("word").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
+    for nth in range(rounds):
+        met = rows.mapInArrow(_keyed(needed, nth, rounds, False), "word long, cls long").groupBy("word").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
         met = scratch.keep(met.where("lo < hi").select("word"), "met")
-        keys = rows.mapInArrow(_keyed(needed, nth, True), "word long, cls long, next long")
+        keys = rows.mapInArrow(_keyed(needed, nth, rounds, True), "word long, cls long, next long")
         found.append(scratch.keep(keys.join(met.hint("merge"), "word", "left_semi"), "shared"))
         scratch.drop(met)
     return found
@@ -385,8 +386,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, num: int = 80, den: in
 
     members = scratch.keep(table.select("doc_id", "n_shingles", "cls", *keys), "members")
     verifier = _Verifier(scratch, rows, table, classes, (shingle, num, den, seed))
-    on_band = table.where("n_shingles > 0").groupBy("band").count().agg(F.max("count")).first()[0] or 0
-    stored = _shared_keys(scratch, table, bits_needed(on_band, num, den))
+    by_band = table.where("n_shingles > 0").groupBy("band").agg(F.count("*").alias("n"), F.sum(F.size("own") + F.size("above")).alias("words"))
+    on_band, words = by_band.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    stored = _shared_keys(scratch, table, bits_needed(on_band, num, den), min(ROUNDS, 1 + words // ROUND_WORDS))
     shared = stored[0]
     for more in stored[1:]:
         shared = shared.unionByName(more)
