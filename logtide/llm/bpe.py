@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from logtide.llm.words import register_cache
+
 #: Words that one generation of a worker's cache holds.
 CACHE_WORDS = 400_000
 _END = "Ā"  # stands for the end-of-word suffix behind the bytes of a word
@@ -280,6 +282,9 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+register_cache(codec.cache_clear)
+
+
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)

@@ -206,6 +206,7 @@ def _sketch(shingle: int, num: int, den: int, seed: int):
     per_band = np.array(band_parts(num, den, band_limits(num, den)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.release_memory()
         for batch in batches:
             for lo, hi, offsets, raw in W.chunks(batch.column(1)):
                 values, first = shingle_sets(W.split(offsets, raw, fold=True), shingle, seed)
@@ -228,6 +229,7 @@ def _sketch(shingle: int, num: int, den: int, seed: int):
 
 def _sets(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.release_memory()
         for batch in batches:
             for lo, hi, offsets, raw in W.chunks(batch.column(1)):
                 values, first = shingle_sets(W.split(offsets, raw, fold=True), shingle, seed)
@@ -242,7 +244,7 @@ def _keyed(needed: np.ndarray, nth: int, rounds: int, with_next: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        pa.default_memory_pool().release_unused()  # of this worker's earlier tasks
+        W.release_memory()
         for batch in batches:
             cls = batch.column(0).to_numpy()
             new = np.zeros(len(cls), bool)

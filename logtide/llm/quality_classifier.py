@@ -104,6 +104,7 @@ def statistics(offsets: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    W.release_memory()
     for batch in batches:
         for lo, hi, offsets, raw in W.chunks(batch.column(1)):
             x = np.round(statistics(offsets, raw), 6)
@@ -205,6 +206,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.release_memory()
         for batch in batches:
             for lo, hi, offsets, raw in W.chunks(batch.column(1)):
                 score = np.round(model.scores(np.round(statistics(offsets, raw), 6)), 9)

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark removes a finished execution's shuffle files when this is set.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a batch between Spark and Python. Long texts and sketches make the default of 10,000 rows tens of megabytes on either side.
+_BATCH, _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 #: Spark takes the order of a bucket that is one file as sorted when this is set.
 _ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 #: Most buckets that Spark allows by default.
@@ -76,9 +78,9 @@ def watched() -> Iterator[list[str]]:
 
 
 @contextlib.contextmanager
-def _set(spark: SparkSession, name: str) -> Iterator[None]:
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _set(spark: SparkSession, name: str, value: str = "true", default: str = "false") -> Iterator[None]:
+    before = spark.conf.get(name, default)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -110,7 +112,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{label}")
-        with short_lived_shuffles(self.spark):
+        with short_lived_shuffles(self.spark), _set(self.spark, _BATCH, _BATCH_ROWS, "10000"):
             df.write.option("compression", "zstd").parquet(path)
         return self._listed(self.spark.read.schema(df.schema).parquet(path), path)
 

@@ -41,7 +41,7 @@ from logtide.llm import scratch
 from logtide.llm.bpe import Generations, Splitter, default_vocabulary, looked_up
 from logtide.llm.joins import quantiles
 from logtide.llm.mph import PerfectHash
-from logtide.llm.words import mix
+from logtide.llm.words import mix, register_cache
 
 _U = np.uint64
 _TAIL = struct.Struct("<8sIIQQQ")  # magic, bytes an id, keyless documents, documents, ids, offset of the offsets
@@ -89,6 +89,9 @@ def _codec(path: str) -> LibraryCodec:
     return LibraryCodec(path)
 
 
+register_cache(_codec.cache_clear)
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
 

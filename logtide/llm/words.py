@@ -7,7 +7,9 @@ in every process. All arithmetic wraps modulo 2**64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +19,23 @@ import pyarrow.compute as pc
 #: Texts are taken in runs of about this many bytes, so memory follows the longest text only.
 CHUNK_BYTES = 256 << 10
 
+_caches: list[Callable[[], None]] = []
+
+
+def register_cache(clear: Callable[[], None]) -> None:
+    """``clear`` empties a cache that a worker process keeps from task to task."""
+    _caches.append(clear)
+
+
+def release_memory() -> None:
+    """Give back what earlier tasks of this worker hold: caches of other operators, and freed memory that wasn't returned."""
+    for clear in _caches:
+        clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
