@@ -222,13 +222,6 @@ def test_near_duplicates(spark, n, num, den):
     assert found == brute.near_components(pairs(docs), n, num, den)
 
 
-def test_near_duplicates_in_rounds(spark, monkeypatch):
-    monkeypatch.setattr(ngram_jaccard, "ROUND_WORDS", 100)  # three rounds
-    docs = cases.documents(spark)
-    found = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_jaccard.near_duplicates(docs).select("doc_id", "n_shingles", "component_id").collect()}
-    assert found == brute.near_components(pairs(docs), 5, 80, 100)
-
-
 def test_near_duplicates_of_a_chain(spark):
     """Neighbours link and ends don't; a copy of the middle and many unlike texts lie between."""
     base = [f"t{i}" for i in range(400)]
