@@ -628,12 +628,10 @@ def single_file_store_roundtrip(spark, sf_dir):
 
 @query("SELECT url AS k, html AS v FROM pages")
 def object_store_roundtrip(spark, sf_dir):
+    """An object a page, as several pages may share an address."""
     path = files.shared_folder(spark, "objects")
-    named = read(spark, sf_dir, "pages").select(F.base64(F.col("url").cast("binary")).alias("b"), F.col("html").alias("v"))
-    formats.write_objects(named.select(F.translate("b", "/+=\r\n", "_-").alias("k"), "v"), path)
-    k = F.translate(F.col("k"), "_-", "/+")
-    padded = F.rpad(k, (F.ceil(F.length(k) / 4) * 4).cast("int"), F.lit("="))
-    return formats.read_objects(spark, path).select(F.unbase64(padded).cast("string").alias("k"), F.col("v").cast("string").alias("v"))
+    formats.write_object_rows(read(spark, sf_dir, "pages").select(F.col("url").alias("k"), F.col("html").alias("v")), path)
+    return formats.read_object_rows(spark, path).select(F.col("k").cast("string").alias("k"), F.col("v").cast("string").alias("v"))
 
 
 @query(_LOG_SQL + "SELECT CASE WHEN deleted THEN 't:' ELSE 'd:' END || k AS k, seq, CASE WHEN NOT deleted THEN v END AS v FROM latest")

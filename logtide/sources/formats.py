@@ -17,8 +17,8 @@ from logtide.sources.logfiles import checked_record, read_checked_log, read_stor
 
 __all__ = [
     "checked_record", "export_history", "export_live", "export_values", "json_map", "read_checked_log", "read_extent", "read_jdbc", "read_json_map",
-    "read_metadata", "read_objects", "read_parquet_log", "read_sql", "read_store", "read_tier_metadata", "read_timed_log", "timed_record", "write_extent",
-    "write_metadata", "write_objects", "write_sql", "write_store", "write_tier_metadata", "write_timed_log",
+    "read_metadata", "read_object_rows", "read_objects", "read_parquet_log", "read_sql", "read_store", "read_tier_metadata", "read_timed_log", "timed_record", "write_extent",
+    "write_metadata", "write_object_rows", "write_objects", "write_sql", "write_store", "write_tier_metadata", "write_timed_log",
 ]
 
 #: Bytes of values that one JSON object holds, about.
@@ -90,6 +90,8 @@ def _written(pairs: DataFrame, write: Callable[[Iterator[tuple[bytes, bytes | No
 def write_objects(pairs: DataFrame, base: str) -> int:
     """Write each value of (k, v) as the object ``base``/k and return how many; writing a key again replaces its object. Keys are relative paths of text."""
     base = base.rstrip("/")
+    store, root = files.filesystem(base)
+    store.create_dir(root, recursive=True)  # without rows too
 
     def write(rows: Iterator[tuple[bytes, bytes | None]]) -> int:
         own, place = files.filesystem(base)
@@ -111,6 +113,28 @@ def write_objects(pairs: DataFrame, base: str) -> int:
     return _written(pairs, write)
 
 
+def write_object_rows(rows: DataFrame, base: str) -> int:
+    """Write every row of (k, v) as an object of its own below ``base`` and return how many; rows of one key, equal rows and nulls all stay.
+
+    The path is the first byte of the key's SHA-256, then the whole of it and the row's number, so any key fits and no folder holds every object.
+    The object is the sizes of key and value in ten places each (-1 for null), the key and the value. Rows are numbered by partition and
+    place, so they must come from files or in another order that a task finds again when it is repeated.
+    """
+    k, v = F.col("k").cast("binary"), F.col("v").cast("binary")
+    digest = F.sha2(F.coalesce(k, F.lit(b"")), 256)
+    name = F.concat(F.substring(digest, 1, 2), F.lit("/"), digest, F.lit("."), F.monotonically_increasing_id().cast("string"))
+    sizes = [F.lpad(F.coalesce(F.octet_length(x), F.lit(-1)).cast("string"), 10, " ").cast("binary") for x in (k, v)]
+    return write_objects(rows.select(name.alias("k"), F.concat(*sizes, *[F.coalesce(x, F.lit(b"")) for x in (k, v)]).alias("v")), base)
+
+
+def read_object_rows(spark: SparkSession, base: str) -> DataFrame:
+    """(k, v) of the rows that ``write_object_rows`` wrote."""
+    sizes = [F.trim(F.substring("v", at, 10).cast("string")).cast("int").alias(name) for at, name in ((1, "nk"), (11, "nv"))]
+    rows = read_objects(spark, base).select(*sizes, "v")
+    key, value = F.substring("v", F.lit(21), F.col("nk")), F.substring("v", F.lit(21) + F.greatest("nk", F.lit(0)), F.col("nv"))
+    return rows.select(F.when(F.col("nk") >= 0, key).alias("k"), F.when(F.col("nv") >= 0, value).alias("v"))
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str = "kv_store") -> DataFrame:
     """(k, v, updated_at) of a relational key-value table; needs its JDBC driver on the class path."""
     rows = spark.read.format("jdbc").options(url=url, dbtable=table).load()

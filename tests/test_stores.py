@@ -8,15 +8,18 @@ import sqlite3
 import struct
 import zlib
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from logtide import cli
 from logtide.functions import hashing, lists, text
 from logtide.operators import blocks, callbacks, integrity, log, shards, stores, table, tiers
-from logtide.plans import workload
+from logtide.plans import catalogue, workload
 from logtide.sources import backends, extents, files, formats, logfiles, rowtables
 from logtide.streaming import latest as streaming
+from tests.oracle import check
 
 SCHEMA = "k binary, seq long, v binary, deleted boolean"
 
@@ -187,6 +190,26 @@ def test_objects(spark, tmp_path):
         formats.write_objects(spark.createDataFrame([(b"../up", b"x")], "k binary, v binary"), str(tmp_path / "o"))
 
 
+_LONG = "https://example.org/" + "ä/" * 3000
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [("https://a.org/1", "one"), ("https://a.org/1", "two"), ("https://a.org/1", "two"), ("ü?#=/+_-", "<p>\0\r\n</p>")],
+        [("https://a.org/1", None), ("https://a.org/1", ""), (None, "x"), (None, None), ("", ""), ("", "y")],
+        [(_LONG, "z"), (_LONG, "z"), (_LONG[:250], " ")],
+        [],
+    ],
+    ids=["shared", "nulls", "long", "none"],
+)
+def test_pages_as_objects(spark, tmp_path, rows):
+    """Every page comes back, whatever its address and text."""
+    url, html = (pa.array([row[i] for row in rows], pa.string()) for i in (0, 1))
+    pq.write_table(pa.table({"page_id": pa.array([1] * len(rows), pa.int64()), "url": url, "html": html}), tmp_path / "pages.parquet")
+    check(spark, catalogue.QUERIES["object_store_roundtrip"], catalogue.ORACLES["object_store_roundtrip"], str(tmp_path))
+
+
 def test_sql_store(spark, tmp_path):
     path = str(tmp_path / "db")
 
